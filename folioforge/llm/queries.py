@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import exactdedup, linededup, mixing, sharding
+from folioforge.llm import exactdedup, jaccard, linededup, mixing, sharding
 from folioforge.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,11 +36,13 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
 }
 
 SQL = {
     "op4_exact_dedup": exactdedup.EXACT_SQL,
     "op6_mixing": mixing.MIX_SQL,
+    "op8_ngram_jaccard_join": jaccard.NEAR_SQL,
     "op9_line_dedup": linededup.LINES_SQL,
 }

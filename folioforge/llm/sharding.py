@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import text_of, written
 
-SECTIONS = 64
+SECTIONS = 512
 MAX_DIGITS = 4
 #: Groups that a block holds on average, up to 16 ** MAX_DIGITS blocks.
-BLOCK_GROUPS = 64
+BLOCK_GROUPS = 16
 #: Parts of a group, so that one huge group's rows are numbered in many tasks.
 PARTS = 4096
 
 
 class _Search:
     def __init__(self, groups: DataFrame, blocks: list, shards: int):
-        """groups: block, group_end. blocks: rows of block, bytes, first byte, in order."""
+        """groups: block, group_ends (an array). blocks: rows of block, bytes, first byte, in order."""
         self.groups, self.shards = groups, shards
         self.names = [b["block"] for b in blocks]
         self.starts = [b["block_start"] for b in blocks]
@@ -59,8 +59,9 @@ class _Search:
             values = ",".join(f"({i},'{name}',{x}L)" for i, name, x in ask)
             wanted = self.spark.sql(f"SELECT * FROM VALUES {values} AS t(i, at, x)")
             near = self.groups.where(F.col("block").isin(sorted({name for _, name, _ in ask})))
-            hits = near.join(F.broadcast(wanted), (near["block"] == wanted["at"]) & (near["group_end"] <= wanted["x"]))
-            for row in hits.groupBy("i").agg(F.max("group_end").alias("e")).collect():
+            hits = near.join(F.broadcast(wanted), near["block"] == wanted["at"])  # SECTIONS rows at most
+            last = F.array_max(F.filter("group_ends", lambda e: e <= F.col("x")))
+            for row in hits.select("i", last.alias("e")).where("e is not null").collect():
                 found[row["i"]] = max(found[row["i"]], row["e"])
         return found
 
@@ -132,9 +133,11 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
         .withColumn("group_end", F.max(F.col("start") + F.col("bytes")).over(group))
         .select("block", "text_sha256", "part", "row", "group_start", "group_end")
     )
-    placed = written(placed.sortWithinPartitions("block"), "shard-placed")
+    placed = written(placed, "shard-placed")
     largest = placed.agg(F.max(F.col("group_end") - F.col("group_start"))).first()[0]
-    ends = _Search(placed.select("block", "group_end"), blocks.orderBy("block").collect(), shards).best(largest)
+    directory = placed.groupBy("block").agg(F.collect_set("group_end").alias("group_ends"))
+    directory = written(directory.repartitionByRange("block").sortWithinPartitions("block"), "shard-directory")
+    ends = _Search(directory, blocks.orderBy("block").collect(), shards).best(largest)
     cuts = F.array(*[F.lit(e).cast("long") for e in ends])
     number = F.size(F.filter(cuts, lambda e: e <= F.col("group_start")))
     cells = placed.select("text_sha256", "part", "row", number.alias("shard"))
