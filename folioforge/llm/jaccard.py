@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.arrowtools import binary_column, bytes_of, complete_groups, packed, small_batches, unpacked
 from folioforge.llm.common import written
 from folioforge.llm.components import components
 from folioforge.llm.wordhash import distinct, mixed, shingle_hashes, word_hashes
@@ -40,36 +41,6 @@ TOKEN_BITS = 40
 ROWS = 512
 
 
-def _packed(values: np.ndarray, width: int) -> np.ndarray:
-    """The lowest `width` bytes of each value, one after another, most significant first."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].reshape(-1)
-
-
-def _unpacked(data: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, 8 - width :] = data.reshape(-1, width)
-    return out.view(">u8").reshape(-1).astype(np.uint64)
-
-
-def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """A binary column over one buffer."""
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def _bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column without nulls, and each row's length."""
-    parts, lengths = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        chunk = chunk.cast(pa.large_binary())
-        offsets = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
-        if len(chunk) and offsets[-1] > offsets[0]:
-            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
-        lengths.append(np.diff(offsets) if len(chunk) else np.zeros(0, np.int64))
-    return np.concatenate(parts), np.concatenate(lengths)
-
-
 def _segments(bits: int, n: int):
     shift = np.uint64(64 - bits)
     rest = np.uint64(64 - bits - TOKEN_BITS)
@@ -101,7 +72,7 @@ def _segments(bits: int, n: int):
                         pa.array(np.concatenate([nodes, nodes[of]])),
                         pa.array(np.concatenate([sizes, sizes[of]]).astype(np.int32)),
                         pa.array(np.concatenate([head, fragments[starts]])),
-                        _binary(_packed((hashes >> rest) & mask, 5), np.concatenate([np.zeros(len(batch), np.int64), lengths * 5])),
+                        binary_column(packed((hashes >> rest) & mask, 5), np.concatenate([np.zeros(len(batch), np.int64), lengths * 5])),
                     ],
                     ["doc_id", "head", "node", "n", "fragment", "tokens"],
                 )
@@ -122,8 +93,8 @@ def _shared(table: pa.Table) -> pa.Table:
     nodes = rest["node"].to_numpy()
     _, first = np.unique(nodes, return_index=True)
     rest = rest.take(pa.array(np.sort(first)))
-    data, lengths = _bytes_of(rest["tokens"])
-    tokens = _unpacked(data, 5)
+    data, lengths = bytes_of(rest["tokens"])
+    tokens = unpacked(data, 5)
     order = np.argsort(tokens)
     ranked = tokens[order]
     new = np.ones(len(tokens), bool)
@@ -139,35 +110,15 @@ def _shared(table: pa.Table) -> pa.Table:
     keys = (level << np.uint64(58)) | (fragment << np.uint64(TOKEN_BITS)) | tokens[keep]
     some = kept > 0
     rest = rest.filter(pa.array(some))
-    rest = rest.set_column(rest.schema.get_field_index("tokens"), "tokens", _binary(keys.view(np.uint8), kept[some] * 8))
+    rest = rest.set_column(rest.schema.get_field_index("tokens"), "tokens", binary_column(keys.view(np.uint8), kept[some] * 8))
     return pa.concat_tables([heads, rest])
 
 
-def complete_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Of batches in order of key: tables that hold whole groups only."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        keys = batch.column(key)
-        last = keys[len(keys) - 1].as_py()
-        if keys[0].as_py() == last and len(held) > 0 and held[0].column(key)[0].as_py() == last:
-            continue  # all one group so far
-        at = int(np.searchsorted(keys.to_numpy(), last))
-        table = pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
-        held = [batch.slice(at)]
-        if len(table):
-            yield table
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _candidates(percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, "node"):
             nodes, sizes = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-            data, lengths = _bytes_of(table["tokens"])
+            data, lengths = bytes_of(table["tokens"])
             keys = data.view(np.uint64) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint64)
             starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
             shared = np.add.reduceat(lengths // 8, starts)
@@ -176,7 +127,7 @@ def _candidates(percent: int):
             out = [np.sort(keys[e - s : e]) for s, e in zip(shared[passes], ends[passes])]
             flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[starts][passes]), pa.array(sizes[starts][passes].astype(np.int32)), _binary(flat.view(np.uint8), shared[passes] * 8)],
+                [pa.array(nodes[starts][passes]), pa.array(sizes[starts][passes].astype(np.int32)), binary_column(flat.view(np.uint8), shared[passes] * 8)],
                 ["node", "n", "tokens"],
             )
 
@@ -187,7 +138,7 @@ def _postings(percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).to_numpy().astype(np.int64)
-            data, lengths = _bytes_of(batch.column(2))
+            data, lengths = bytes_of(batch.column(2))
             keys = np.frombuffer(data.tobytes(), np.int64)
             shared = lengths // 8
             first = np.minimum(shared, shared - -(-percent * sizes // 100) + 1)
@@ -207,7 +158,7 @@ def _split(bits: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy()
-            data, lengths = _bytes_of(batch.column(1))
+            data, lengths = bytes_of(batch.column(1))
             keys = np.frombuffer(data.tobytes(), np.uint64)
             owner = np.repeat(np.arange(len(batch)), lengths // 8)
             fragment = (mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
@@ -218,7 +169,7 @@ def _split(bits: int):
                 [
                     pa.array(fragment[starts].astype(np.int32)),
                     pa.array(nodes[owner[starts]]),
-                    _binary(keys.view(np.uint8), np.diff(np.append(starts, len(keys))) * 8),
+                    binary_column(keys.view(np.uint8), np.diff(np.append(starts, len(keys))) * 8),
                 ],
                 ["fragment", "node", "tokens"],
             )
@@ -228,7 +179,7 @@ def _split(bits: int):
 
 def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
     """The partial overlap of each pair in one fragment."""
-    data, lengths = _bytes_of(segments["tokens"])
+    data, lengths = bytes_of(segments["tokens"])
     keys = np.frombuffer(data.tobytes(), np.uint64)
     ends = np.cumsum(lengths // 8)
     where = {node: (e - s, e) for node, s, e in zip(segments["node"].to_pylist(), (lengths // 8).tolist(), ends.tolist())}
@@ -246,6 +197,7 @@ def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
 class NearSets:
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 75):
         self.percent, self.spark = percent, docs.sparkSession
+        small_batches(self.spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.bits = min(MAX_BITS, max(4, int(np.ceil(np.log2(max(1, size / FRAGMENT_TEXT))))))
