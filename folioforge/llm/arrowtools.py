@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 
@@ -61,7 +62,7 @@ def complete_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.
         if held and held[0].column(key)[0].as_py() == last and keys[0].as_py() == last:
             held.append(batch)
             continue
-        at = int(np.searchsorted(keys.to_numpy(), last))
+        at = pc.index(keys, keys[len(keys) - 1]).as_py()
         table = pa.Table.from_batches([*held, batch.slice(0, at)])
         held = [batch.slice(at)]
         if len(table):

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, exactdedup, jaccard, linededup, lmscore, mixing, sharding, toxicity
+from folioforge.llm import bpe, exactdedup, jaccard, linededup, lmscore, media, mixing, sharding, toxicity, warc
 from folioforge.llm.common import documents
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +22,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.media_features(documents(spark, sf_dir)).select(*columns)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exactdedup.exact_dedup(documents(spark, sf_dir))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -49,7 +59,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_media": op3_media,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
@@ -60,6 +72,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc": warc.WARC_SQL,
     "op4_exact_dedup": exactdedup.EXACT_SQL,
     "op6_mixing": mixing.MIX_SQL,
     "op8_ngram_jaccard_join": jaccard.NEAR_SQL,
