@@ -91,9 +91,9 @@ def exact_groups(found: DataFrame) -> DataFrame:
 
 def near_pairs(selected: DataFrame) -> DataFrame:
     """Linked pairs among blocks that share a 16-bit SimHash band of at most MAX_BUCKET blocks."""
-    rows = selected.withColumn("grams", X.ngrams(F.col("key"))).withColumn("sim", X.simhash(F.col("key")))
+    rows = cut(selected.select("book_id", "start_offset", "key")).withColumn("grams", X.ngrams(F.col("key"))).withColumn("sim", X.simhash(F.col("key")))
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("sim", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("value")) for b in range(4)])
-    dealt = rows.select("book_id", "start_offset", "sim", "grams", F.explode(bands).alias("b"))
+    dealt = cut(rows.select("book_id", "start_offset", "sim", "grams", F.explode(bands).alias("b")))
     fit = dealt.groupBy("book_id", "b").agg(F.count(F.lit(1)).alias("k")).where(f"k between 2 and {MAX_BUCKET}").select("book_id", "b")
     dealt = dealt.join(fit, ["book_id", "b"])
     other = dealt.select("book_id", "b", *[F.col(c).alias(f"o_{c}") for c in ("start_offset", "sim", "grams")])
@@ -135,7 +135,7 @@ def structural(found: DataFrame, parts: DataFrame, radius: int = R.L4_RADIUS) ->
 def cascade(lines: DataFrame, min_chars: int = 12, scope: str = "boundary", radius: int = R.L2_RADIUS) -> DataFrame:
     """Every block that a detector took, with layer and group: exact repetition, near repetition, pattern, structure, in this order."""
     validate(min_chars=min_chars, scope=scope, radius=radius)
-    found, parts = blocks(lines, min_chars), structure.slices(lines)
+    found, parts = cut(blocks(lines, min_chars)), cut(structure.slices(lines))
     exact = exact_groups(found).select("book_id", "key")
     l1 = found.join(exact, ["book_id", "key"]).select("book_id", "start_offset", F.lit("L1").alias("layer"), F.col("key").alias("group"))
     rest = found.join(exact, ["book_id", "key"], "left_anti")
