@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import scratch, text_of, written
 
 MICRO_BATCHES = 3
+#: Rows of the feed per state store. Every RocksDB store takes 4 MB of disk for its manifest alone, so that there are
+#: as many stores as the feed needs, up to the number of shuffle partitions.
+STORE_ROWS = 20_000
 
 
 def sha256(text: Column) -> Column:
@@ -37,10 +40,12 @@ def rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def stream_states(feed: DataFrame, files: int) -> DataFrame:
+def stream_states(feed: DataFrame, files: int, rows: int) -> DataFrame:
     """digest, keep_id, locator, group_size: the state after the whole feed, a table in the shared folder."""
     spark = feed.sparkSession
     rocksdb(spark)
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // STORE_ROWS)))
+    spark.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(stores))
     source = feed.inputFiles()[0].rsplit("/", 1)[0]
     log = scratch(spark, "dedup-log")
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", max(1, -(-files // MICRO_BATCHES))).parquet(source)
@@ -73,10 +78,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     text = text_of()
     feed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), F.input_file_name().alias("locator")), "dedup-feed")
     files = len(feed.inputFiles())
-    if not files or feed.isEmpty():
+    count = feed.count()
+    if not count:
         states = feed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max("locator").alias("locator"), F.count(F.lit(1)).alias("group_size"))
     else:
-        states = written(stream_states(feed, files), "dedup-states")
+        states = written(stream_states(feed, files, count), "dedup-states")
     hits = states.where("group_size > 1").select("digest", F.col("keep_id").alias("stays"))
     members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), digest(text).alias("digest")).join(hits, "digest")
     keepers = members.where(F.col("doc_id").eqNullSafe(F.col("stays"))).groupBy("digest").agg(F.first("text").alias("full"))
