@@ -6,9 +6,9 @@
    that frequency, rare first, then by hash.
 3. A node can only have partners if enough of its n-grams are shared. Of such a node the first n-grams in the global order (as
    many as one of them must be common with any partner) are posted.
-4. Candidates are made without pairing off whole groups: each posting list first links its nodes to one hub, then those of
-   other components to another hub, and only nodes that are still in different components are paired one by one, under the
-   length and position bounds.
+4. Candidates are made without pairing off whole groups: each node first meets one hub of its posting lists, then in each round
+   more hubs, members of the list's largest component by then, and only nodes that are still in different components are paired
+   one by one, under the length and position bounds. Rounds only save work: the last one pairs all that they left.
 5. Candidates are verified by vertical partitioning again: every fragment counts the partial overlap of each pair, and a pair's
    partial counts are summed. Links are exact for the sets of hashes.
 6. Components come from star contraction.
@@ -33,9 +33,11 @@ from folioforge.llm.common import written
 from folioforge.llm.components import components
 from folioforge.llm.wordhash import distinct, mixed, shingle_hashes, word_hashes
 
-#: Bytes of text per fragment, and the most fragments (a power of two).
+#: Bytes of text per fragment, and the fewest and most fragments (powers of two).
 FRAGMENT_TEXT = 20_000_000
-MAX_BITS = 18
+MIN_BITS, MAX_BITS = 6, 18
+#: Hubs that a node meets per round before the nodes of different components are paired one by one.
+HUBS = (1, 6, 24)
 TOKEN_BITS = 40
 #: Rows hashed at once.
 ROWS = 512
@@ -200,8 +202,8 @@ class NearSets:
         small_batches(self.spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.bits = min(MAX_BITS, max(4, int(np.ceil(np.log2(max(1, size / FRAGMENT_TEXT))))))
-        self.check_bits = max(3, self.bits - 3)
+        self.bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, size / FRAGMENT_TEXT))))))
+        self.check_bits = self.bits - 5
         segments = rows.mapInArrow(_segments(self.bits, n), SEGMENT)
         shared = written(segments.groupBy("fragment").applyInArrow(_shared, SEGMENT), "near-shared")
         self.members = shared.where("head").select("doc_id", "node", "n")
@@ -226,9 +228,13 @@ class NearSets:
         most = 1 + F.least(nx - F.col(f"{x}place") - 1, ny - F.col(f"{y}place") - 1)
         return (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & ((100 + self.percent) * most >= self.percent * (nx + ny))
 
-    def _pairs(self, left: DataFrame, right: DataFrame, condition=None) -> DataFrame:
-        """left: token, node, n, place, component; right the same with an x in front. Each pair once, the lesser node first."""
+    def _pairs(self, left: DataFrame, right: DataFrame, hubs: int | None, step: int) -> DataFrame:
+        """left: token, node, n, place, component; right the same with an x in front. Each pair once, the lesser node first;
+        with `hubs` set, a node of left meets that many of right in this round."""
         met = left.join(right, "token").where(F.col("component") != F.col("xcomponent")).where(self._bounded("", "x"))
+        if hubs:
+            of_node = Window.partitionBy("node").orderBy(F.xxhash64("xnode", F.lit(step)))
+            met = met.select("node", "n", "xnode", "xn").distinct().withColumn("nth", F.row_number().over(of_node)).where(F.col("nth") <= hubs)
         first = F.col("node") < F.col("xnode")
         return met.select(
             F.least("node", "xnode").alias("a"),
@@ -242,33 +248,33 @@ class NearSets:
         postings = self.candidates.mapInArrow(_postings(self.percent), "token long, node long, n int, place int")
         common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         postings = written(postings.join(common, "token", "left_semi"), "near-postings")
-        links, found = None, None
-        tried: DataFrame | None = None
+        links, found, tried = None, None, None
         row = F.struct("n", "node", "place", "component")
-        for step in ("smallest", "random", "largest component", "rest"):
+        for step, hubs in enumerate((*HUBS, None)):
             if found is None:
                 rows = postings.withColumn("component", F.col("node"))
             else:
                 rows = postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            rows = written(rows.join(split, "token", "left_semi"), "near-split")
+                split = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+                rows = rows.join(split, "token", "left_semi")
+            rows = written(rows, "near-split")
             if rows.isEmpty():
                 break
-            sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.max(row).alias("hub"))
-            large = sizes.groupBy("token").agg(F.max(F.struct("k", "component", "hub")).alias("top"))
-            if step == "smallest":
-                hubs = rows.groupBy("token").agg(F.min(row).alias("hub"))
-            elif step == "random":
-                hubs = rows.groupBy("token").agg(F.min_by(row, F.xxhash64("node")).alias("hub"))
-            elif step == "largest component":
-                hubs = large.select("token", F.col("top.hub").alias("hub"))
-            if step != "rest":
-                right = hubs.select("token", F.col("hub.node").alias("xnode"), F.col("hub.n").alias("xn"), F.col("hub.place").alias("xplace"), F.col("hub.component").alias("xcomponent"))
+            if found is None:
+                right = rows.groupBy("token").agg(F.min(row).alias("hub")).select("token", "hub.*")
+                left = rows
             else:
-                top = large.select("token", F.col("top.component").alias("most"))
-                minor = rows.join(top, "token").where(F.col("component") != F.col("most"))
-                right = minor.select("token", F.col("node").alias("xnode"), F.col("n").alias("xn"), F.col("place").alias("xplace"), F.col("component").alias("xcomponent"))
-            pairs = self._pairs(rows, right)
+                sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+                large = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top")).select("token", F.col("top.component").alias("most"))
+                marked = rows.join(large, "token")
+                left = marked.where("component <> most").drop("most")
+                right = rows
+                if hubs:
+                    # The first of a token's largest component by a hash that differs from round to round.
+                    first = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(step)))
+                    right = marked.where("component = most").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= hubs).drop("most", "nth")
+            right = right.select("token", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "place", "component")])
+            pairs = self._pairs(left, right, hubs, step)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = written(pairs, "near-pairs")
