@@ -102,12 +102,12 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that do not stay."""
-    once = exact_dedup(docs).where("kept_once and group_size > 1").select(F.col("digest"), F.col("doc_id").alias("stays"))
+    once = exact_dedup(docs).where("kept_once and group_size > 1").select(F.col("digest").alias("__group"), F.col("doc_id").alias("__stays"))
     rows = docs.withColumn("__digest", sha256(text_of()))
+    rows = rows.join(once, rows["__digest"] == once["__group"], "left")
+    alone = rows.where("__group is null").select(*docs.columns)
     nth = F.row_number().over(Window.partitionBy("__digest", "doc_id").orderBy(F.lit(1)))
-    rows = rows.join(once, rows["__digest"] == once["digest"], "left")
-    alone = rows.where(F.col("digest").isNull()).select(*docs.columns)
-    copies = rows.where(F.col("digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("stays")))
+    copies = rows.where(F.col("__group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__stays")))
     copies = copies.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
     return alone.unionByName(copies)
 

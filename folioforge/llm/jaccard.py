@@ -303,12 +303,13 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """docs with one row of each component: that with its smallest doc_id; rows without words stay."""
     found = near_components(docs, n, percent).where("n_shingles > 0")
-    gone = found.groupBy("doc_id").agg(F.max(F.when(~F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0)).alias("gone"), F.count(F.lit(1)).alias("k"))
-    gone = gone.where("gone = 1 or k > 1").select(F.col("doc_id").alias("of"), "gone")
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["of"]), "left")
-    once = F.row_number().over(Window.partitionBy("of").orderBy(F.lit(1)))
-    alone = rows.where("of is null and gone is null").select(*docs.columns)
-    repeated = rows.where("gone = 0").withColumn("__nth", once).where("__nth = 1").select(*docs.columns)
+    leaves = F.max(F.when(~F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0))
+    gone = found.groupBy(F.col("doc_id").alias("__of")).agg(leaves.alias("__gone"), F.count(F.lit(1)).alias("__k"))
+    gone = gone.where("__gone = 1 or __k > 1").select("__of", "__gone")
+    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__of"]), "left")
+    once = F.row_number().over(Window.partitionBy("__of").orderBy(F.lit(1)))
+    alone = rows.where("__gone is null").select(*docs.columns)
+    repeated = rows.where("__gone = 0").withColumn("__nth", once).where("__nth = 1").select(*docs.columns)
     return alone.unionByName(repeated)
 
 

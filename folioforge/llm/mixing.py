@@ -93,17 +93,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it, rounded up to whole texts; rows that it never takes go."""
     decided = mix(docs, **options).where("taken > 0")
-    times = (
-        decided.withColumn("times", F.ceil(F.col("taken") / F.col("size")).cast("int"))
-        .select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tie").alias("t"), "times")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("d", "s", "t").orderBy(F.col("times").desc())))
-    )
-    rows = docs.withColumn("__tie", F.xxhash64(text_of())).withColumn(
-        "__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1)))
-    )
-    same = rows["doc_id"].eqNullSafe(times["d"]) & rows["source"].eqNullSafe(times["s"]) & (rows["__tie"] == times["t"]) & (rows["__nth"] == times["nth"])
-    kept = rows.join(times, same).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy"))
-    return kept.drop("__copy")
+    times = decided.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("tie").alias("__t"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = times.withColumn("__of", F.row_number().over(Window.partitionBy("__d", "__s", "__t").orderBy(F.col("__times").desc())))
+    same_row = Window.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1))
+    rows = docs.withColumn("__tie", F.xxhash64(text_of())).withColumn("__nth", F.row_number().over(same_row))
+    same = rows["doc_id"].eqNullSafe(times["__d"]) & rows["source"].eqNullSafe(times["__s"]) & (rows["__tie"] == times["__t"]) & (rows["__nth"] == times["__of"])
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")
+    return rows.join(times, same).select(*[rows[c] for c in docs.columns], copies).drop("__copy")
 
 
 #: DuckDB SQL for the same rows.
