@@ -37,7 +37,7 @@ from folioforge.llm.wordhash import distinct, mixed, shingle_hashes, word_hashes
 FRAGMENT_TEXT = 20_000_000
 MIN_BITS, MAX_BITS = 6, 18
 #: Hubs that a node meets per round before the nodes of different components are paired one by one.
-HUBS = (1, 6, 24)
+HUBS = (1, 12)
 TOKEN_BITS = 40
 #: Rows hashed at once.
 ROWS = 512
@@ -248,7 +248,7 @@ class NearSets:
         postings = self.candidates.mapInArrow(_postings(self.percent), "token long, node long, n int, place int")
         common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         postings = written(postings.join(common, "token", "left_semi"), "near-postings")
-        links, found, tried = None, None, None
+        found, tried = None, None
         row = F.struct("n", "node", "place", "component")
         for step, hubs in enumerate((*HUBS, None)):
             if found is None:
@@ -284,8 +284,8 @@ class NearSets:
             new = written(self.verified(pairs), "near-links")
             if new.isEmpty():
                 continue
-            links = new if links is None else links.union(new)
-            found = written(components(links), "near-components")
+            edges = new if found is None else new.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = written(components(edges), "near-components")
         return self.spark.createDataFrame([], "node long, component long") if found is None else found
 
 
