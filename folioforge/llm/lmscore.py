@@ -26,8 +26,9 @@ from folioforge.llm.common import written
 from folioforge.llm.wordhash import mixed, word_hashes
 
 MAX_WORDS = 65_535
-#: Words per fragment.
-FRAGMENT_WORDS = 3_000_000
+#: Words per fragment, and the fewest fragments (a power of two): a task holds some arrays of that many numbers.
+FRAGMENT_WORDS = 1_500_000
+MIN_BITS = 7
 #: Weight of the bigram model against the word model.
 BIGRAM = 0.7
 TARGET, BACKGROUND, NEITHER = 1, 2, 0
@@ -125,16 +126,18 @@ def _fragment_losses(shared):
         data, lengths = bytes_of(table["bigrams"])
         keys = np.frombuffer(data.tobytes(), np.uint32)
         roles = table["role"].to_numpy()
-        owner = np.repeat(np.arange(len(table)), lengths // 4)
+        owner = np.repeat(np.arange(len(table), dtype=np.int32), lengths // 4)
         kinds, number = np.unique(keys, return_inverse=True)
+        number = number.astype(np.int32)
         role = roles[owner]
         own_key = owner.astype(np.int64) << 32 | number
         order = np.argsort(own_key, kind="stable")
         new = np.flatnonzero(np.append(True, np.diff(own_key[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(new, len(order)))
-        own = np.empty(len(keys), np.int64)
+        runs = np.diff(np.append(new, len(order))).astype(np.int32)
+        own = np.empty(len(keys), np.int32)
         own[order] = np.repeat(runs, runs)
-        before, after = (keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64)
+        del own_key, order, new, runs
+        before, after = keys >> 16, keys & 0xFFFF
         out = []
         for r in (TARGET, BACKGROUND):
             counts = np.bincount(number[role == r], minlength=len(kinds))[number]
@@ -175,7 +178,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     totals = {r: float(words[r].sum()) for r in words}
     shared = spark.sparkContext.broadcast((words, heads, totals))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    bits = min(20, max(3, int(np.ceil(np.log2(max(1, total / FRAGMENT_WORDS))))))
+    bits = min(20, max(MIN_BITS, int(np.ceil(np.log2(max(1, total / FRAGMENT_WORDS))))))
     dealt = rows.select("row", "role", "words").mapInArrow(_dealt(bits), "fragment int, row long, role int, bigrams binary")
     parts = dealt.groupBy("fragment").applyInArrow(_fragment_losses(shared), "row long, target double, background double, n long")
     losses = parts.groupBy("row").agg((F.sum("target") / F.sum("n")).alias("t"), (F.sum("background") / F.sum("n")).alias("b"))
