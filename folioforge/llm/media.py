@@ -30,9 +30,9 @@ from folioforge.llm.arrowtools import complete_groups, small_batches
 from folioforge.llm.common import scratch, text_of, written
 
 UNIT = 64
-MIN_CHUNK, MAX_CHUNK = 2048, 32768
-#: Top bits of the gear hash that are 0 at a cut: one place in 4096.
-CUT_BITS = 12
+MIN_CHUNK, MAX_CHUNK = 8192, 65536
+#: Top bits of the gear hash that are 0 at a cut: one place in 8192.
+CUT_BITS = 13
 LEVEL = 6
 _GEAR = np.random.default_rng(4711).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -66,9 +66,9 @@ def gear_cuts(data: bytes) -> list[int]:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk: the payload's key, place, digest and frame."""
+    """Per chunk: the payload's key, place, how many chunks the payload has, digest and frame."""
     for batch in batches:
-        keys, places, digests, frames = [], [], [], []
+        keys, places, counts, digests, frames = [], [], [], [], []
         seen: set[bytes] = set()
         done: set[bytes] = set()
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -76,17 +76,20 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             done.add(key)
             data, start = payload_of(text), 0
-            for place, end in enumerate(gear_cuts(data)):
+            cuts = gear_cuts(data)
+            for place, end in enumerate(cuts):
                 piece = data[start:end]
                 digest = hashlib.sha256(piece).digest()
                 keys.append(key)
                 places.append(place)
+                counts.append(len(cuts))
                 digests.append(digest)
                 frames.append(None if digest in seen else zlib.compress(piece, LEVEL))
                 seen.add(digest)
                 start = end
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(frames, pa.binary())], ["payload", "place", "digest", "frame"]
+            [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(digests, pa.binary()), pa.array(frames, pa.binary())],
+            ["payload", "place", "of", "digest", "frame"],
         )
 
 
@@ -143,7 +146,7 @@ class ChunkStore:
         small_batches(spark, 256)
         text = text_of()
         rows = docs.select(F.unhex(F.sha2(text, 256)).alias("payload"), text.alias("text"))
-        found = rows.mapInArrow(_chunked, "payload binary, place int, digest binary, frame binary")
+        found = rows.mapInArrow(_chunked, "payload binary, place int, of int, digest binary, frame binary")
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"folioforge_chunks_{uuid.uuid4().hex}"
         # One shuffle by digest brings equal chunks together. The first row of a digest keeps the frame, all rows keep the list.
@@ -151,15 +154,17 @@ class ChunkStore:
 
         by_digest = Window.partitionBy("digest").orderBy(F.col("frame").isNull(), "payload", "place")
         marked = found.repartition(buckets, "digest").withColumn("nth", F.row_number().over(by_digest))
-        marked = marked.select("payload", "place", "digest", F.when(F.col("nth") == 1, F.col("frame")).alias("frame"))
+        marked = marked.select("payload", "place", "of", "digest", F.when(F.col("nth") == 1, F.col("frame")).alias("frame"))
         marked.write.bucketBy(buckets, "digest").sortBy("digest").option("compression", "zstd").option("path", scratch(spark, "chunks")).saveAsTable(name)
         table = spark.table(name)
-        return cls(table.where("frame is not null").select("digest", "frame"), table.select("payload", "place", "digest").distinct())
+        return cls(table.where("frame is not null").select("digest", "frame"), table.select("payload", "place", "of", "digest").distinct())
 
     def read(self) -> DataFrame:
-        """A row per payload, rebuilt from the store."""
-        chunks = self.lists.join(self.chunks.hint("merge"), "digest").select("payload", "place", "digest", "frame")
-        return chunks.repartition("payload").sortWithinPartitions("payload", "place").mapInArrow(_rebuilt, FEATURES)
+        """A row per payload, rebuilt from the store. Only payloads of several chunks are brought together by a shuffle."""
+        chunks = self.lists.join(self.chunks.hint("merge"), "digest").select("payload", "place", "digest", "frame", "of")
+        alone = chunks.where("of = 1").drop("of").mapInArrow(_rebuilt, FEATURES)
+        several = chunks.where("of > 1").drop("of").repartition("payload").sortWithinPartitions("payload", "place")
+        return alone.unionByName(several.mapInArrow(_rebuilt, FEATURES))
 
 
 def media_features(docs: DataFrame) -> DataFrame:

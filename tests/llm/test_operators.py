@@ -148,7 +148,7 @@ def test_media_round_trip(spark, docs, empty):
 def test_cuts_follow_the_content():
     import numpy as np
 
-    data = np.random.default_rng(3).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
+    data = np.random.default_rng(3).integers(0, 256, 400_000, dtype=np.uint8).tobytes()
     cuts = media.gear_cuts(data)
     shifted = media.gear_cuts(b"prefix" + data)
     assert cuts[-1] == len(data) and all(b - a <= media.MAX_CHUNK for a, b in zip([0, *cuts], cuts))
