@@ -2,7 +2,7 @@
 
 A payload is a text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64; its samples are 8-bit. A rolling gear hash
 (a byte table, shifted by one per byte, so that it spans 32 bytes) cuts it where its top bits are 0, at least MIN_CHUNK and at
-most MAX_CHUNK bytes after the last cut. A chunk is stored as a zlib frame under its SHA-256; a Spark aggregation by digest
+most MAX_CHUNK bytes after the last cut. A chunk is stored as a bzip2 frame under its SHA-256; a Spark aggregation by digest
 keeps one row per digest, so that only that row's bytes are written. The chunk store is a table of the shared folder, bucketed by
 digest; a payload is an ordered list of digests. Reading joins the lists to the store, puts a payload's frames in order and
 verifies each chunk against its digest and each payload against its SHA-256.
@@ -16,6 +16,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import uuid
 import zlib
@@ -33,7 +34,8 @@ UNIT = 64
 MIN_CHUNK, MAX_CHUNK = 8192, 65536
 #: Top bits of the gear hash that are 0 at a cut: one place in 8192.
 CUT_BITS = 13
-LEVEL = 6
+#: Block size of the frames in 100 kB; no chunk is larger.
+LEVEL = 1
 _GEAR = np.random.default_rng(4711).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -84,7 +86,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places.append(place)
                 counts.append(len(cuts))
                 digests.append(digest)
-                frames.append(None if digest in seen else zlib.compress(piece, LEVEL))
+                frames.append(None if digest in seen else bz2.compress(piece, LEVEL))
                 seen.add(digest)
                 start = end
         yield pa.RecordBatch.from_arrays(
@@ -121,7 +123,7 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if current is not None:
                     close()
                 current, whole, media, n, sound, size = key, [], hashlib.sha256(), 0, True, 0
-            piece = zlib.decompress(frame)
+            piece = bz2.decompress(frame)
             sound = sound and hashlib.sha256(piece).digest() == digest
             whole.append(piece)
             media.update(len(frame).to_bytes(4, "little"))
