@@ -1,15 +1,15 @@
 """LM scoring by cross-entropy difference of matched target and background bigram models over one vocabulary.
 
-The target is the documents labelled of good quality, the background other documents; the larger side is thinned by hash until both
-have as many words. The vocabulary is the MAX_WORDS most frequent words of all documents; other words share one entry, as
-do text starts. Documents become 2-byte word numbers. Bigrams are dealt to fragments by hash, and a fragment counts its bigrams in
-both models and at once scores every document's bigrams in it, so no n-gram table is broadcast or joined; a document's
-losses are summed over the fragments. A model document's own counts are taken out while it is scored.
+The target is the documents labelled of good quality, the background unlabelled documents; the larger side is thinned by hash until
+both have as many words. The vocabulary is the MAX_WORDS most frequent words of all documents; other words share one entry, as
+do text starts. Documents become 2-byte word numbers, and lie in blocks of about BLOCK_WORDS words. A block sends each of its
+distinct bigrams once to the bigram's fragment (by hash), with its counts in both models; the fragment sums the counts of all
+blocks and sends them back to the blocks that asked, where the documents are scored. So no n-gram table is broadcast, and what
+travels is a block's distinct bigrams and not all of its words. A model document's own counts are taken out while it is scored.
 
 Defined cases: a null text or one without words has 0 words, losses of 0 and score 0; a null doc_id has no label; repeated rows are scored
 each and count each; labels of one doc_id are averaged (good from 0.5 on); without labelled rows both models are uniform and scores
-are 0; an empty table gives an empty result; other columns are not read. Losses are rounded to 6 places, so that the order of
-summation does not show.
+are 0; an empty table gives an empty result; other columns are not read. Losses are rounded to 6 places.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,13 @@ from folioforge.llm.common import written
 from folioforge.llm.wordhash import mixed, word_hashes
 
 MAX_WORDS = 65_535
-#: Words per fragment, and the fewest fragments (a power of two): a task holds some arrays of that many numbers.
-FRAGMENT_WORDS = 1_500_000
+#: Words per block, at the end of the row that reaches them: a task holds some arrays of that many numbers.
+BLOCK_WORDS = 2_000_000
+#: Words per fragment, and the fewest fragments (a power of two); far fewer distinct bigrams reach a fragment.
+FRAGMENT_WORDS = 6_000_000
 MIN_BITS = 7
+#: Draws that thin the larger side are whole numbers under this.
+DRAWS = 1 << 30
 #: Weight of the bigram model against the word model.
 BIGRAM = 0.7
 TARGET, BACKGROUND, NEITHER = 1, 2, 0
@@ -67,88 +72,183 @@ def numbered(docs: DataFrame, words: np.ndarray) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, row long, n long, words binary")
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per role, word and predecessor counts of some rows."""
+BLOCK = "block long, doc_ids array<long>, good binary, draws binary, lengths binary, words binary, n_words long, good_words long, other_words long"
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, good (1, 0, or -1 without a label), draw, n and words, some documents to each block."""
+    task, made = TaskContext.get().partitionId(), 0
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        good, n = table["good"].to_numpy(), table["n"].to_numpy()
+        words, _ = bytes_of(table["words"])
+        numbers = [int(x) for x in (n.sum(), n[good == 1].sum(), n[good == -1].sum())]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([task << 32 | made]),
+                pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())),
+                *[pa.array([x.tobytes()], pa.binary()) for x in (good.astype(np.int8), table["draw"].to_numpy().astype(np.uint32), n.astype(np.uint32), words)],
+                *[pa.array([x]) for x in numbers],
+            ],
+            [x.split()[0] for x in BLOCK.split(", ")],
+        )
+
+    held, size = [], 0
+    for whole in batches:
+        for at in range(0, len(whole), 32):
+            batch = whole.slice(at, 32)
+            held.append(batch)
+            size += int(batch.column("n").to_numpy().sum())
+            if size >= BLOCK_WORDS:
+                yield block(held)
+                held, size, made = [], 0, made + 1
+    if held:
+        yield block(held)
+
+
+class _Documents:
+    """One block's documents: the owner of every word, and each document's role in the models."""
+
+    def __init__(self, row: dict, limits: tuple[float, float]):
+        self.doc_ids = row["doc_ids"]
+        self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+        good, draws = np.frombuffer(row["good"], np.int8), np.frombuffer(row["draws"], np.uint32)
+        self.roles = np.where((good == 1) & (draws < limits[0]), TARGET, np.where((good == -1) & (draws < limits[1]), BACKGROUND, NEITHER))
+        self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int64), self.lengths)
+        self.after = np.frombuffer(row["words"], "<u2").astype(np.uint32)
+        self.before = np.zeros(len(self.after), np.uint32)
+        self.before[1:] = self.after[:-1]
+        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = 0
+
+    def kinds(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct bigrams by fragment and number, their fragments, and every word's place among them."""
+        kinds, place = np.unique(self.before << np.uint32(16) | self.after, return_inverse=True)
+        fragments = (mixed(kinds.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(fragments, kind="stable")
+        moved = np.empty(len(order), np.int32)
+        moved[order] = np.arange(len(order), dtype=np.int32)
+        return kinds[order], fragments[order], moved[place]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        data, lengths = bytes_of(batch.column(1))
-        numbers = np.frombuffer(data.tobytes(), "<u2").astype(np.int64)
-        roles = np.repeat(batch.column(0).to_numpy(), lengths // 2)
-        before, _ = _bigrams(numbers, lengths // 2)
-        for role in (TARGET, BACKGROUND):
-            counts = np.bincount(numbers[roles == role], minlength=1)
-            heads = np.bincount(before[roles == role], minlength=1)
-            size = max(len(counts), len(heads))
-            counts, heads = np.pad(counts, (0, size - len(counts))), np.pad(heads, (0, size - len(heads)))
-            some = np.flatnonzero(counts + heads)
+        for i in range(len(batch)):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+def _word_counts(limits: tuple[float, float]):
+    """Per role: counts of words and of predecessors, a row per word of a task at most."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, MAX_WORDS + 1), np.int64)
+        for row in _rows(batches):
+            docs = _Documents(row, limits)
+            roles = docs.roles[docs.owner]
+            for i, role in enumerate((TARGET, BACKGROUND)):
+                sums[i, 0] += np.bincount(docs.after[roles == role], minlength=MAX_WORDS + 1)
+                sums[i, 1] += np.bincount(docs.before[roles == role], minlength=MAX_WORDS + 1)
+        for i, role in enumerate((TARGET, BACKGROUND)):
+            some = np.flatnonzero(sums[i].sum(axis=0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), role, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64)), pa.array(heads[some].astype(np.int64))],
+                [pa.array(np.full(len(some), role, np.int32)), pa.array(some.astype(np.int32)), pa.array(sums[i, 0][some]), pa.array(sums[i, 1][some])],
                 ["role", "word", "k", "heads"],
             )
 
+    return make
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers under 2^32 by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, k: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * k, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, k).T).view("<u4").reshape(-1)
+
 
-def _bigrams(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    before = np.zeros(len(numbers), np.int64)
-    before[1:] = numbers[:-1]
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = 0
-    return before, numbers
+ASKED = "block long, fragment int, k int, keys binary, target binary, background binary"
+COUNTED = "block long, fragment int, k int, target binary, background binary"
 
 
-def _dealt(bits: int):
+def _asked(bits: int, limits: tuple[float, float]):
+    """Per block and fragment: the block's distinct bigrams and their counts in both models."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, lengths = bytes_of(batch.column(2))
-            numbers = np.frombuffer(data.tobytes(), "<u2").astype(np.int64)
-            before, after = _bigrams(numbers, lengths // 2)
-            keys = (before << 16 | after).astype(np.uint32)
-            owner = np.repeat(np.arange(len(batch)), lengths // 2)
-            fragment = (mixed(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(owner << 20 | fragment, kind="stable")
-            keys, owner, fragment = keys[order], owner[order], fragment[order]
-            starts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            of = owner[starts]
+        for row in _rows(batches):
+            docs = _Documents(row, limits)
+            kinds, fragments, place = docs.kinds(bits)
+            if not len(kinds):
+                continue
+            roles = docs.roles[docs.owner]
+            counts = [np.bincount(place[roles == r], minlength=len(kinds)) for r in (TARGET, BACKGROUND)]
+            starts = np.flatnonzero(np.append(True, fragments[1:] != fragments[:-1]))
+            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(kinds)]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(fragment[starts].astype(np.int32)),
-                    batch.column(0).take(pa.array(of)),
-                    batch.column(1).take(pa.array(of)),
-                    binary_column(keys.view(np.uint8), np.diff(np.append(starts, len(keys))) * 4),
+                    pa.array(np.full(len(spans), row["block"], np.int64)),
+                    pa.array(fragments[starts]),
+                    pa.array([e - s for s, e in spans], pa.int32()),
+                    pa.array([_squeezed(np.diff(kinds[s:e], prepend=np.uint32(0))) for s, e in spans], pa.binary()),
+                    *[pa.array([_squeezed(c[s:e]) for s, e in spans], pa.binary()) for c in counts],
                 ],
-                ["fragment", "row", "role", "bigrams"],
+                [x.split()[0] for x in ASKED.split(", ")],
             )
 
     return make
 
 
-def _fragment_losses(shared):
-    def make(table: pa.Table) -> pa.Table:
+def _counted(table: pa.Table) -> pa.Table:
+    """Of one fragment: each block's bigrams again, now with the counts of all blocks."""
+    sizes = table["k"].to_pylist()
+    keys = np.concatenate([np.cumsum(_restored(x, k), dtype=np.uint32) for x, k in zip(table["keys"].to_pylist(), sizes)])
+    kinds, place = np.unique(keys, return_inverse=True)
+    del keys
+    ends = np.cumsum(sizes)
+    out = []
+    for name in ("target", "background"):
+        parts = np.concatenate([_restored(x, k) for x, k in zip(table[name].to_pylist(), sizes)])
+        whole = np.bincount(place, parts, minlength=len(kinds))[place]
+        out.append(pa.array([_squeezed(whole[e - k : e]) for e, k in zip(ends.tolist(), sizes)], pa.binary()))
+    return pa.table({"block": table["block"], "fragment": table["fragment"], "k": table["k"], "target": out[0], "background": out[1]})
+
+
+SCORED = "doc_id long, n_words long, target_loss double, background_loss double"
+
+
+def _scored(bits: int, limits: tuple[float, float], shared):
+    def make(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         words, heads, totals = shared.value  # per role: word counts, predecessor counts; totals
-        data, lengths = bytes_of(table["bigrams"])
-        keys = np.frombuffer(data.tobytes(), np.uint32)
-        roles = table["role"].to_numpy()
-        owner = np.repeat(np.arange(len(table), dtype=np.int32), lengths // 4)
-        kinds, number = np.unique(keys, return_inverse=True)
-        number = number.astype(np.int32)
-        role = roles[owner]
-        own_key = owner.astype(np.int64) << 32 | number
-        order = np.argsort(own_key, kind="stable")
-        new = np.flatnonzero(np.append(True, np.diff(own_key[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(new, len(order))).astype(np.int32)
-        own = np.empty(len(keys), np.int32)
-        own[order] = np.repeat(runs, runs)
-        del own_key, order, new, runs
-        before, after = keys >> 16, keys & 0xFFFF
-        out = []
-        for r in (TARGET, BACKGROUND):
-            counts = np.bincount(number[role == r], minlength=len(kinds))[number]
-            mine = np.where(role == r, own, 0)
-            word = np.maximum(words[r][after] - mine, 0) + 1.0
-            word = word / (totals[r] + len(words[r]))
-            head = np.maximum(heads[r][before] - mine, 0)
-            pair = np.where(head > 0, (counts - mine) / np.maximum(head, 1), word)
-            loss = -np.log(BIGRAM * pair + (1 - BIGRAM) * word)
-            out.append(np.bincount(owner, loss, minlength=len(table)))
-        return pa.table({"row": table["row"], "target": out[0], "background": out[1], "n": pa.array(lengths // 4)})
+        parts: list[pa.Table] = []
+        counted = counted.sort_by("fragment")
+        sizes = counted["k"].to_pylist()
+        for row in _rows(blocks.to_batches()):
+            docs = _Documents(row, limits)
+            kinds, _, place = docs.kinds(bits)
+            if sum(sizes) != len(kinds):
+                raise RuntimeError("a block's bigrams did not all come back")
+            own_key = docs.owner << 32 | place
+            order = np.argsort(own_key, kind="stable")
+            new = np.flatnonzero(np.append(True, np.diff(own_key[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(new, len(order))).astype(np.int32)
+            own = np.empty(len(order), np.int32)
+            own[order] = np.repeat(runs, runs)
+            del own_key, order, new, runs
+            role = docs.roles[docs.owner]
+            losses = []
+            for r, name in ((TARGET, "target"), (BACKGROUND, "background")):
+                counts = np.concatenate([np.zeros(0, np.uint32), *[_restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]])[place]
+                mine = np.where(role == r, own, 0)
+                word = np.maximum(words[r][docs.after] - mine, 0) + 1.0
+                word /= totals[r] + len(words[r])
+                head = np.maximum(heads[r][docs.before] - mine, 0)
+                pair = np.where(head > 0, (counts - mine) / np.maximum(head, 1), word)
+                loss = -np.log(BIGRAM * pair + (1 - BIGRAM) * word)
+                losses.append(np.bincount(docs.owner, loss, minlength=len(docs.lengths)) / np.maximum(docs.lengths, 1))
+            parts.append(pa.table({"doc_id": pa.array(docs.doc_ids, pa.int64()), "n_words": pa.array(docs.lengths), "target_loss": losses[0], "background_loss": losses[1]}))
+        return pa.concat_tables(parts)
 
     return make
 
@@ -158,30 +258,24 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = numbered(docs, vocabulary(docs))
-    good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.avg("quality") >= 0.5).alias("good"))
-    rows = written(rows.join(good, rows["doc_id"] == good["of"], "left").select("doc_id", "row", "n", "words", "good"), "lm-rows")
-    sums = rows.agg(F.sum(F.when(F.col("good"), F.col("n"))), F.sum(F.when(F.col("good").isNull(), F.col("n")))).first()
-    target, other = int(sums[0] or 0), int(sums[1] or 0)
+    good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
+    rows = rows.join(good, rows["doc_id"] == good["of"], "left")
+    rows = rows.select("doc_id", F.coalesce("good", F.lit(-1)).alias("good"), F.pmod(F.xxhash64("row"), F.lit(DRAWS)).alias("draw"), "n", "words")
+    blocks = written(rows.mapInArrow(_blocked, BLOCK), "lm-blocks")
+    sums = blocks.agg(F.sum("good_words"), F.sum("other_words"), F.sum("n_words")).first()
+    target, other, total = (int(x or 0) for x in sums)
     least = min(target, other)
-    share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)
-    role = (
-        F.when(F.col("good") & (share < (least / target if target else 0.0)), TARGET)
-        .when(F.col("good").isNull() & (share < (least / other if other else 0.0)), BACKGROUND)
-        .otherwise(NEITHER)
-    )
-    rows = rows.withColumn("role", role.cast("int"))
+    limits = (least / target * DRAWS if target else 0.0, least / other * DRAWS if other else 0.0)
+    small_batches(spark, 4)  # a row is a block from here on
     size = MAX_WORDS + 1
     words, heads = {r: np.zeros(size) for r in (TARGET, BACKGROUND)}, {r: np.zeros(size) for r in (TARGET, BACKGROUND)}
-    counted = rows.where("role > 0").select("role", "words").mapInArrow(_word_counts, "role int, word int, k long, heads long")
+    counted = blocks.select(*[x.split()[0] for x in BLOCK.split(", ")]).mapInArrow(_word_counts(limits), "role int, word int, k long, heads long")
     for r in counted.groupBy("role", "word").agg(F.sum("k").alias("k"), F.sum("heads").alias("heads")).collect():  # two rows a word at most
         words[r["role"]][r["word"]], heads[r["role"]][r["word"]] = r["k"], r["heads"]
-    totals = {r: float(words[r].sum()) for r in words}
-    shared = spark.sparkContext.broadcast((words, heads, totals))
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    shared = spark.sparkContext.broadcast((words, heads, {r: float(words[r].sum()) for r in words}))
     bits = min(20, max(MIN_BITS, int(np.ceil(np.log2(max(1, total / FRAGMENT_WORDS))))))
-    dealt = rows.select("row", "role", "words").mapInArrow(_dealt(bits), "fragment int, row long, role int, bigrams binary")
-    parts = dealt.groupBy("fragment").applyInArrow(_fragment_losses(shared), "row long, target double, background double, n long")
-    losses = parts.groupBy("row").agg((F.sum("target") / F.sum("n")).alias("t"), (F.sum("background") / F.sum("n")).alias("b"))
-    full = rows.select("doc_id", "row", "n").join(losses, "row", "left")
-    t, b = F.round(F.coalesce("t", F.lit(0.0)), 6), F.round(F.coalesce("b", F.lit(0.0)), 6)
-    return full.select("doc_id", F.col("n").alias("n_words"), t.alias("target_loss"), b.alias("background_loss"), F.round(t - b, 6).alias("score"))
+    asked = blocks.mapInArrow(_asked(bits, limits), ASKED)
+    answers = written(asked.groupBy("fragment").applyInArrow(_counted, COUNTED), "lm-counts")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(bits, limits, shared), SCORED)
+    t, b = F.round("target_loss", 6), F.round("background_loss", 6)
+    return scored.select("doc_id", "n_words", t.alias("target_loss"), b.alias("background_loss"), F.round(t - b, 6).alias("score"))

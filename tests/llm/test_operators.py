@@ -1,7 +1,10 @@
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +196,36 @@ def test_toxicity_and_lm_on_odd_rows(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert lmscore.score_documents(docs, labels).where("score is not null").count() >= len(sample())
     assert lmscore.score_documents(empty, labels).count() == 0
+
+
+def test_lm_scores_equal_brute_force(spark, docs):
+    """All words are in the vocabulary here, so bigrams can be counted by the words themselves."""
+    labels = [(4, 1), (9, 1), (8, 0)]
+    texts = [(r[0], re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))) for r in sample()]
+    draws = {(r.doc_id, r.text): r.draw / lmscore.DRAWS for r in docs.select("doc_id", "text", F.pmod(F.xxhash64(F.xxhash64("doc_id", "text")), F.lit(lmscore.DRAWS)).alias("draw")).collect()}
+    good = dict(labels)
+    sides = {True: [], False: []}
+    for row, (doc_id, words) in zip(sample(), texts):
+        if doc_id not in good or good[doc_id]:
+            sides[doc_id in good].append((draws[(doc_id, row[1])], doc_id, words))
+    least = min(sum(len(w) for _, _, w in s) for s in sides.values())
+    models = []
+    for side in (True, False):
+        total = sum(len(w) for _, _, w in sides[side])
+        picked = [(d, w) for share, d, w in sides[side] if share < least / total]
+        models.append((picked, Counter(x for _, w in picked for x in w), Counter(x for _, w in picked for x in ["", *w[:-1]] if w), Counter(p for _, w in picked for p in zip(["", *w[:-1]], w))))
+    want = []
+    for doc_id, words in texts:
+        losses = []
+        for picked, one, head, two in models:
+            own = Counter(zip(["", *words[:-1]], words)) if (doc_id, words) in picked else Counter()
+            total, loss = sum(one.values()), 0.0
+            for a, b in zip(["", *words[:-1]], words):
+                mine = own[(a, b)]
+                word = (max(one[b] - mine, 0) + 1) / (total + lmscore.MAX_WORDS + 1)
+                left = max(head[a] - mine, 0)
+                loss -= math.log(lmscore.BIGRAM * ((two[(a, b)] - mine) / left if left else word) + (1 - lmscore.BIGRAM) * word)
+            losses.append(round(loss / max(1, len(words)), 5))
+        want.append((-1 if doc_id is None else doc_id, len(words), *losses))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in lmscore.score_documents(docs, spark.createDataFrame([(a, b) for a, b in labels], "doc_id long, quality int")).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=2e-5)
