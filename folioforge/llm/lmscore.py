@@ -259,7 +259,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = numbered(docs, vocabulary(docs))
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-    rows = rows.join(good, rows["doc_id"] == good["of"], "left")
+    # Labels grow with the documents: the same shuffled join at every size, where AQE can split a hot doc_id.
+    rows = rows.join(good.hint("merge"), rows["doc_id"] == good["of"], "left")
     rows = rows.select("doc_id", F.coalesce("good", F.lit(-1)).alias("good"), F.pmod(F.xxhash64("row"), F.lit(DRAWS)).alias("draw"), "n", "words")
     blocks = written(rows.mapInArrow(_blocked, BLOCK), "lm-blocks")
     sums = blocks.agg(F.sum("good_words"), F.sum("other_words"), F.sum("n_words")).first()
