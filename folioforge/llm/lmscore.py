@@ -49,7 +49,14 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["word", "k"])
 
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, k long").groupBy("word").agg(F.sum("k").alias("k"))
-    top = words.orderBy(F.col("k").desc(), "word").limit(MAX_WORDS).select("word").collect()
+    # Words are ranked only from the level of frequency on that the last of them falls in, so that few reach the driver.
+    words = written(words.withColumn("level", F.floor(8 * F.log2("k")).cast("int")), "lm-words")
+    least, seen = 0, 0
+    for r in words.groupBy("level").count().orderBy(F.col("level").desc()).collect():  # some hundreds of levels
+        least, seen = r["level"], seen + r["count"]
+        if seen >= MAX_WORDS:
+            break
+    top = words.where(F.col("level") >= least).orderBy(F.col("k").desc(), "word").limit(MAX_WORDS).select("word").collect()
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
