@@ -49,6 +49,15 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
+def _html_changed(change, kind: pa.DataType):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("html")
+            yield batch.set_column(at, "html", pa.array([change(x) for x in batch.column(at).to_pylist()], kind))
+
+    return make
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, payload_bytes, record_type, refers_to."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -59,9 +68,11 @@ def plan_records(pages: DataFrame) -> DataFrame:
     light = written(rows.select("page_id", "digest", "payload_bytes", "record"), "warc-plan")
     first = light.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(F.struct(F.col("page_id"), F.col("record"))).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     first = first.select(F.col("digest").alias("of"), "first")
+    # Payloads travel compressed through the join.
+    rows = rows.mapInArrow(_html_changed(lambda x: zlib.compress(x.encode()), pa.binary()), "page_id long, url string, html binary, digest string, payload_bytes long, record long")
     joined = rows.join(first, rows["digest"] == first["of"], "left")
     repeats = F.col("first").isNotNull() & (F.struct("page_id", "record") != F.col("first"))
-    return joined.select(
+    planned = joined.select(
         "page_id",
         "url",
         "html",
@@ -70,6 +81,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
         F.when(repeats, "revisit").otherwise("response").alias("record_type"),
         F.when(repeats, F.col("first.page_id")).alias("refers_to"),
     )
+    return planned.mapInArrow(_html_changed(lambda x: zlib.decompress(x).decode(), pa.string()), "page_id long, url string, html string, digest string, payload_bytes long, record_type string, refers_to long")
 
 
 def record_text(date: str) -> Column:
