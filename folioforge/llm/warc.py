@@ -17,6 +17,7 @@ rows are records of their own (of equal page_ids one is the response); an empty
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import json
 import zlib
@@ -69,7 +70,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     first = light.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(F.struct(F.col("page_id"), F.col("record"))).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     first = first.select(F.col("digest").alias("of"), "first")
     # Payloads travel compressed through the join.
-    rows = rows.mapInArrow(_html_changed(lambda x: zlib.compress(x.encode()), pa.binary()), "page_id long, url string, html binary, digest string, payload_bytes long, record long")
+    rows = rows.mapInArrow(_html_changed(lambda x: bz2.compress(x.encode()), pa.binary()), "page_id long, url string, html binary, digest string, payload_bytes long, record long")
     joined = rows.join(first, rows["digest"] == first["of"], "left")
     repeats = F.col("first").isNotNull() & (F.struct("page_id", "record") != F.col("first"))
     planned = joined.select(
@@ -81,7 +82,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
         F.when(repeats, "revisit").otherwise("response").alias("record_type"),
         F.when(repeats, F.col("first.page_id")).alias("refers_to"),
     )
-    return planned.mapInArrow(_html_changed(lambda x: zlib.decompress(x).decode(), pa.string()), "page_id long, url string, html string, digest string, payload_bytes long, record_type string, refers_to long")
+    return planned.mapInArrow(_html_changed(lambda x: bz2.decompress(x).decode(), pa.string()), "page_id long, url string, html string, digest string, payload_bytes long, record_type string, refers_to long")
 
 
 def record_text(date: str) -> Column:
