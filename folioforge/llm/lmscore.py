@@ -1,11 +1,12 @@
 """LM scoring by cross-entropy difference of matched target and background bigram models over one vocabulary.
 
 The target is the documents labelled of good quality, the background unlabelled documents; the larger side is thinned by hash until
-both have as many words. The vocabulary is the MAX_WORDS most frequent words of all documents; other words share one entry, as
-do text starts. Documents become 2-byte word numbers, and lie in blocks of about BLOCK_WORDS words. A block sends each of its
-distinct bigrams once to the bigram's fragment (by hash), with its counts in both models; the fragment sums the counts of all
-blocks and sends them back to the blocks that asked, where the documents are scored. So no n-gram table is broadcast, and what
-travels is a block's distinct bigrams and not all of its words. A model document's own counts are taken out while it is scored.
+both have as many words. The vocabulary is every word of all documents, named by a 64-bit hash, so it grows with the corpus; text
+starts have a name of their own. Documents lie in blocks of about BLOCK_WORDS words, as places in the block's sorted distinct words.
+A block sends each of its distinct bigrams, words and predecessors once to the fragment of its key (by hash), with its counts in both
+models; the fragment sums the counts of all blocks and sends them back to the blocks that asked, where the documents are scored. So
+neither a vocabulary nor an n-gram table is broadcast or reaches the driver, and what travels is a block's distinct keys and not all
+of its words. A model document's own counts are taken out while it is scored.
 
 Defined cases: a null text or one without words has 0 words, losses of 0 and score 0; a null doc_id has no label; repeated rows are scored
 each and count each; labels of one doc_id are averaged (good from 0.5 on); without labelled rows both models are uniform and scores
@@ -22,80 +23,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import binary_column, bytes_of, small_batches
+from folioforge.llm.arrowtools import small_batches
 from folioforge.llm.common import written
 from folioforge.llm.wordhash import mixed, word_hashes
 
-MAX_WORDS = 65_535
+#: Smoothing counts at least this many words and 1, and all words of the corpus where they are more; no word is left out.
+LEAST_WORDS = 65_535
+MAX_WORDS = LEAST_WORDS  # the name that tests use
 #: Words per block, at the end of the row that reaches them: a task holds some arrays of that many numbers.
 BLOCK_WORDS = 2_000_000
-#: Words per fragment, and the fewest fragments (a power of two); far fewer distinct bigrams reach a fragment.
-FRAGMENT_WORDS = 6_000_000
+#: Words per fragment, and the fewest fragments (a power of two); fewer distinct keys reach a fragment.
+FRAGMENT_WORDS = 3_000_000
 MIN_BITS = 7
 #: Draws that thin the larger side are whole numbers under this.
 DRAWS = 1 << 30
 #: Weight of the bigram model against the word model.
 BIGRAM = 0.7
 TARGET, BACKGROUND, NEITHER = 1, 2, 0
+#: The name of a text start, and what parts the keys of words and of predecessors from those of bigrams. Only words' keys are odd.
+START = np.uint64(0x5851F42D4C957F2D)
+OF_WORD, OF_HEAD = np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """The hashes of the most frequent words, sorted; word i of it has number i + 1."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, _ = word_hashes(batch.column(0).to_pylist())
-            values, counts = np.unique(words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["word", "k"])
-
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, k long").groupBy("word").agg(F.sum("k").alias("k"))
-    # Words are ranked only from the level of frequency on that the last of them falls in, so that few reach the driver.
-    words = written(words.withColumn("level", F.floor(8 * F.log2("k")).cast("int")), "lm-words")
-    least, seen = 0, 0
-    for r in words.groupBy("level").count().orderBy(F.col("level").desc()).collect():  # some hundreds of levels
-        least, seen = r["level"], seen + r["count"]
-        if seen >= MAX_WORDS:
-            break
-    top = words.where(F.col("level") >= least).orderBy(F.col("k").desc(), "word").limit(MAX_WORDS).select("word").collect()
-    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-
-
-def numbered(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), n, words: 2 bytes each."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # MAX_WORDS hashes at most
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            hashes, counts = word_hashes(batch.column(2).to_pylist())
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                numbers = np.where(known[at] == hashes, at + 1, 0).astype("<u2")
-            else:
-                numbers = np.zeros(len(hashes), "<u2")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), binary_column(numbers.view(np.uint8), counts * 2)], ["doc_id", "row", "n", "words"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, row long, n long, words binary")
-
-
-BLOCK = "block long, doc_ids array<long>, good binary, draws binary, lengths binary, words binary, n_words long, good_words long, other_words long"
+BLOCK = "block long, doc_ids array<long>, good binary, draws binary, lengths binary, names binary, words binary, n_words long, good_words long, other_words long"
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, good (1, 0, or -1 without a label), draw, n and words, some documents to each block."""
+    """Rows of doc_id, good (1, 0, or -1 without a label), draw and text, some documents to each block."""
     task, made = TaskContext.get().partitionId(), 0
 
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        good, n = table["good"].to_numpy(), table["n"].to_numpy()
-        words, _ = bytes_of(table["words"])
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        doc_ids = [x for part in held for x in part[0].to_pylist()]
+        good, draws, n = (np.concatenate([part[i] for part in held]) for i in (1, 2, 3))
+        names, words = np.unique(np.concatenate([part[4] for part in held]), return_inverse=True)
         numbers = [int(x) for x in (n.sum(), n[good == 1].sum(), n[good == -1].sum())]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([task << 32 | made]),
-                pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())),
-                *[pa.array([x.tobytes()], pa.binary()) for x in (good.astype(np.int8), table["draw"].to_numpy().astype(np.uint32), n.astype(np.uint32), words)],
+                pa.array([doc_ids], pa.list_(pa.int64())),
+                *[pa.array([x.tobytes()], pa.binary()) for x in (good.astype(np.int8), draws.astype(np.uint32), n.astype(np.uint32), names)],
+                pa.array([_squeezed(words)], pa.binary()),
                 *[pa.array([x]) for x in numbers],
             ],
             [x.split()[0] for x in BLOCK.split(", ")],
@@ -105,8 +72,9 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 32):
             batch = whole.slice(at, 32)
-            held.append(batch)
-            size += int(batch.column("n").to_numpy().sum())
+            words, n = word_hashes(batch.column("text").to_pylist())
+            held.append((batch.column("doc_id"), batch.column("good").to_numpy(), batch.column("draw").to_numpy(), n, words))
+            size += len(words)
             if size >= BLOCK_WORDS:
                 yield block(held)
                 held, size, made = [], 0, made + 1
@@ -123,19 +91,27 @@ class _Documents:
         good, draws = np.frombuffer(row["good"], np.int8), np.frombuffer(row["draws"], np.uint32)
         self.roles = np.where((good == 1) & (draws < limits[0]), TARGET, np.where((good == -1) & (draws < limits[1]), BACKGROUND, NEITHER))
         self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int64), self.lengths)
-        self.after = np.frombuffer(row["words"], "<u2").astype(np.uint32)
-        self.before = np.zeros(len(self.after), np.uint32)
+        self.names = np.append(np.frombuffer(row["names"], np.uint64), START)
+        self.after = _restored(row["words"], int(self.lengths.sum()))
+        self.before = np.empty_like(self.after)
         self.before[1:] = self.after[:-1]
-        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = 0
-
-    def kinds(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct bigrams by fragment and number, their fragments, and every word's place among them."""
-        kinds, place = np.unique(self.before << np.uint32(16) | self.after, return_inverse=True)
-        fragments = (mixed(kinds.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
-        order = np.argsort(fragments, kind="stable")
+        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = len(self.names) - 1
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of the distinct bigrams, words and predecessors in order, and where among them those of every word are."""
+        if not len(self.after):
+            none = np.zeros(0, np.int32)
+            return np.zeros(0, np.uint64), none, none, none
+        size = np.uint64(len(self.names))
+        pairs, place = np.unique(self.before * size + self.after, return_inverse=True)
+        two = mixed(mixed(self.names[pairs // size]) + self.names[pairs % size]) & ~np.uint64(1)
+        one, head = mixed(self.names[:-1] + OF_WORD) | np.uint64(1), mixed(self.names + OF_HEAD) & ~np.uint64(1)
+        keys = np.concatenate([two, one, head])
+        order = np.argsort(keys)
         moved = np.empty(len(order), np.int32)
         moved[order] = np.arange(len(order), dtype=np.int32)
-        return kinds[order], fragments[order], moved[place]
+        a, b = len(two), len(two) + len(one)
+        return keys[order], moved[:a][place], moved[a:b][self.after], moved[b:][self.before]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -144,61 +120,43 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _word_counts(limits: tuple[float, float]):
-    """Per role: counts of words and of predecessors, a row per word of a task at most."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2, MAX_WORDS + 1), np.int64)
-        for row in _rows(batches):
-            docs = _Documents(row, limits)
-            roles = docs.roles[docs.owner]
-            for i, role in enumerate((TARGET, BACKGROUND)):
-                sums[i, 0] += np.bincount(docs.after[roles == role], minlength=MAX_WORDS + 1)
-                sums[i, 1] += np.bincount(docs.before[roles == role], minlength=MAX_WORDS + 1)
-        for i, role in enumerate((TARGET, BACKGROUND)):
-            some = np.flatnonzero(sums[i].sum(axis=0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), role, np.int32)), pa.array(some.astype(np.int32)), pa.array(sums[i, 0][some]), pa.array(sums[i, 1][some])],
-                ["role", "word", "k", "heads"],
-            )
-
-    return make
-
-
-def _squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers under 2^32 by byte planes, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+def _squeezed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    kind = np.dtype(kind)
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _restored(data: bytes, k: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * k, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, k).T).view("<u4").reshape(-1)
+def _restored(data: bytes, k: int, kind: str = "<u4") -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=kind.itemsize * k, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, k).T).view(kind).reshape(-1)
 
 
 ASKED = "block long, fragment int, k int, keys binary, target binary, background binary"
-COUNTED = "block long, fragment int, k int, target binary, background binary"
+COUNTED = "block long, fragment int, k int, target binary, background binary, kinds long, target_words long, background_words long"
 
 
 def _asked(bits: int, limits: tuple[float, float]):
-    """Per block and fragment: the block's distinct bigrams and their counts in both models."""
+    """Per block and fragment: the block's distinct keys and their counts in both models."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             docs = _Documents(row, limits)
-            kinds, fragments, place = docs.kinds(bits)
-            if not len(kinds):
+            keys, *places = docs.keys()
+            if not len(keys):
                 continue
+            fragments = (keys >> np.uint64(64 - bits)).astype(np.int32)
             roles = docs.roles[docs.owner]
-            counts = [np.bincount(place[roles == r], minlength=len(kinds)) for r in (TARGET, BACKGROUND)]
+            counts = [sum(np.bincount(place[roles == r], minlength=len(keys)) for place in places) for r in (TARGET, BACKGROUND)]
             starts = np.flatnonzero(np.append(True, fragments[1:] != fragments[:-1]))
-            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(kinds)]))
+            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(spans), row["block"], np.int64)),
                     pa.array(fragments[starts]),
                     pa.array([e - s for s, e in spans], pa.int32()),
-                    pa.array([_squeezed(np.diff(kinds[s:e], prepend=np.uint32(0))) for s, e in spans], pa.binary()),
+                    pa.array([_squeezed(np.diff(keys[s:e], prepend=np.uint64(0)), "<u8") for s, e in spans], pa.binary()),
                     *[pa.array([_squeezed(c[s:e]) for s, e in spans], pa.binary()) for c in counts],
                 ],
                 [x.split()[0] for x in ASKED.split(", ")],
@@ -208,34 +166,37 @@ def _asked(bits: int, limits: tuple[float, float]):
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Of one fragment: each block's bigrams again, now with the counts of all blocks."""
+    """Of one fragment: each block's keys again, now with the counts of all blocks; and how many words the fragment has and counts."""
     sizes = table["k"].to_pylist()
-    keys = np.concatenate([np.cumsum(_restored(x, k), dtype=np.uint32) for x, k in zip(table["keys"].to_pylist(), sizes)])
+    keys = np.concatenate([np.cumsum(_restored(x, k, "<u8"), dtype=np.uint64) for x, k in zip(table["keys"].to_pylist(), sizes)])
     kinds, place = np.unique(keys, return_inverse=True)
     del keys
+    is_word = (kinds & np.uint64(1)).astype(bool)
     ends = np.cumsum(sizes)
-    out = []
+    out, totals = [], [int(is_word.sum())]
     for name in ("target", "background"):
         parts = np.concatenate([_restored(x, k) for x, k in zip(table[name].to_pylist(), sizes)])
-        whole = np.bincount(place, parts, minlength=len(kinds))[place]
+        whole = np.bincount(place, parts, minlength=len(kinds))
+        totals.append(int(whole[is_word].sum()))
+        whole = whole[place]
         out.append(pa.array([_squeezed(whole[e - k : e]) for e, k in zip(ends.tolist(), sizes)], pa.binary()))
-    return pa.table({"block": table["block"], "fragment": table["fragment"], "k": table["k"], "target": out[0], "background": out[1]})
+    totals = [pa.array(np.full(len(sizes), x, np.int64)) for x in totals]
+    return pa.table([table["block"], table["fragment"], table["k"], *out, *totals], [x.split()[0] for x in COUNTED.split(", ")])
 
 
 SCORED = "doc_id long, n_words long, target_loss double, background_loss double"
 
 
-def _scored(bits: int, limits: tuple[float, float], shared):
+def _scored(limits: tuple[float, float], vocabulary: int, totals: dict[int, int]):
     def make(blocks: pa.Table, counted: pa.Table) -> pa.Table:
-        words, heads, totals = shared.value  # per role: word counts, predecessor counts; totals
         parts: list[pa.Table] = []
         counted = counted.sort_by("fragment")
         sizes = counted["k"].to_pylist()
         for row in _rows(blocks.to_batches()):
             docs = _Documents(row, limits)
-            kinds, _, place = docs.kinds(bits)
-            if sum(sizes) != len(kinds):
-                raise RuntimeError("a block's bigrams did not all come back")
+            keys, place, word_place, head_place = docs.keys()
+            if sum(sizes) != len(keys):
+                raise RuntimeError("a block's keys did not all come back")
             own_key = docs.owner << 32 | place
             order = np.argsort(own_key, kind="stable")
             new = np.flatnonzero(np.append(True, np.diff(own_key[order]) != 0)) if len(order) else np.zeros(0, np.int64)
@@ -246,12 +207,12 @@ def _scored(bits: int, limits: tuple[float, float], shared):
             role = docs.roles[docs.owner]
             losses = []
             for r, name in ((TARGET, "target"), (BACKGROUND, "background")):
-                counts = np.concatenate([np.zeros(0, np.uint32), *[_restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]])[place]
+                counts = np.concatenate([np.zeros(0, np.uint32), *[_restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]]).astype(np.int64)
                 mine = np.where(role == r, own, 0)
-                word = np.maximum(words[r][docs.after] - mine, 0) + 1.0
-                word /= totals[r] + len(words[r])
-                head = np.maximum(heads[r][docs.before] - mine, 0)
-                pair = np.where(head > 0, (counts - mine) / np.maximum(head, 1), word)
+                word = np.maximum(counts[word_place] - mine, 0) + 1.0
+                word /= totals[r] + vocabulary
+                head = np.maximum(counts[head_place] - mine, 0)
+                pair = np.where(head > 0, (counts[place] - mine) / np.maximum(head, 1), word)
                 loss = -np.log(BIGRAM * pair + (1 - BIGRAM) * word)
                 losses.append(np.bincount(docs.owner, loss, minlength=len(docs.lengths)) / np.maximum(docs.lengths, 1))
             parts.append(pa.table({"doc_id": pa.array(docs.doc_ids, pa.int64()), "n_words": pa.array(docs.lengths), "target_loss": losses[0], "background_loss": losses[1]}))
@@ -264,26 +225,24 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (nats per word), score: their difference, lower is more like the target."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = numbered(docs, vocabulary(docs))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     # Labels grow with the documents: the same shuffled join at every size, where AQE can split a hot doc_id.
     rows = rows.join(good.hint("merge"), rows["doc_id"] == good["of"], "left")
-    rows = rows.select("doc_id", F.coalesce("good", F.lit(-1)).alias("good"), F.pmod(F.xxhash64("row"), F.lit(DRAWS)).alias("draw"), "n", "words")
+    rows = rows.select("doc_id", F.coalesce("good", F.lit(-1)).alias("good"), F.pmod(F.xxhash64("row"), F.lit(DRAWS)).alias("draw"), "text")
     blocks = written(rows.mapInArrow(_blocked, BLOCK), "lm-blocks")
     sums = blocks.agg(F.sum("good_words"), F.sum("other_words"), F.sum("n_words")).first()
     target, other, total = (int(x or 0) for x in sums)
     least = min(target, other)
     limits = (least / target * DRAWS if target else 0.0, least / other * DRAWS if other else 0.0)
     small_batches(spark, 4)  # a row is a block from here on
-    size = MAX_WORDS + 1
-    words, heads = {r: np.zeros(size) for r in (TARGET, BACKGROUND)}, {r: np.zeros(size) for r in (TARGET, BACKGROUND)}
-    counted = blocks.select(*[x.split()[0] for x in BLOCK.split(", ")]).mapInArrow(_word_counts(limits), "role int, word int, k long, heads long")
-    for r in counted.groupBy("role", "word").agg(F.sum("k").alias("k"), F.sum("heads").alias("heads")).collect():  # two rows a word at most
-        words[r["role"]][r["word"]], heads[r["role"]][r["word"]] = r["k"], r["heads"]
-    shared = spark.sparkContext.broadcast((words, heads, {r: float(words[r].sum()) for r in words}))
     bits = min(20, max(MIN_BITS, int(np.ceil(np.log2(max(1, total / FRAGMENT_WORDS))))))
     asked = blocks.mapInArrow(_asked(bits, limits), ASKED)
     answers = written(asked.groupBy("fragment").applyInArrow(_counted, COUNTED), "lm-counts")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(bits, limits, shared), SCORED)
+    sums = answers.groupBy("fragment").agg(*[F.first(c).alias(c) for c in ("kinds", "target_words", "background_words")])
+    kinds, *totals = (int(x or 0) for x in sums.agg(F.sum("kinds"), F.sum("target_words"), F.sum("background_words")).first())
+    scored = blocks.groupBy("block").cogroup(answers.select("block", "fragment", "k", "target", "background").groupBy("block")).applyInArrow(
+        _scored(limits, max(LEAST_WORDS + 1, kinds), dict(zip((TARGET, BACKGROUND), totals))), SCORED
+    )
     t, b = F.round("target_loss", 6), F.round("background_loss", 6)
     return scored.select("doc_id", "n_words", t.alias("target_loss"), b.alias("background_loss"), F.round(t - b, 6).alias("score"))
