@@ -31,9 +31,10 @@ from folioforge.llm.arrowtools import complete_groups, small_batches
 from folioforge.llm.common import scratch, text_of, written
 
 UNIT = 64
-MIN_CHUNK, MAX_CHUNK = 8192, 65536
-#: Top bits of the gear hash that are 0 at a cut: one place in 8192.
-CUT_BITS = 13
+#: Well below the usual text, so that passages that texts share are chunks of their own: 1 KB on average.
+MIN_CHUNK, MAX_CHUNK = 256, 8192
+#: Top bits of the gear hash that are 0 at a cut: one place in 1024.
+CUT_BITS = 10
 #: Block size of the frames in 100 kB; no chunk is larger.
 LEVEL = 1
 _GEAR = np.random.default_rng(4711).integers(0, 2**32, 256, dtype=np.uint32)
