@@ -6,7 +6,7 @@ starts have a name of their own. Documents lie in blocks of about BLOCK_WORDS wo
 A block sends each of its distinct bigrams, words and predecessors once to the fragment of its key (by hash), with its counts in both
 models; the fragment sums the counts of all blocks and sends them back to the blocks that asked, where the documents are scored. So
 neither a vocabulary nor an n-gram table is broadcast or reaches the driver, and what travels is a block's distinct keys and not all
-of its words. A model document's own counts are taken out while it is scored.
+of its words. A model document's own counts of bigrams, words and predecessors are taken out while it is scored.
 
 Defined cases: a null text or one without words has 0 words, losses of 0 and score 0; a null doc_id has no label; repeated rows are scored
 each and count each; labels of one doc_id are averaged (good from 0.5 on); without labelled rows both models are uniform and scores
@@ -187,6 +187,17 @@ def _counted(table: pa.Table) -> pa.Table:
 SCORED = "doc_id long, n_words long, target_loss double, background_loss double"
 
 
+def _own(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often every word's key occurs in its document."""
+    key = owner << 32 | place
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(new, len(order))).astype(np.int32)
+    own = np.empty(len(order), np.int32)
+    own[order] = np.repeat(runs, runs)
+    return own
+
+
 def _scored(limits: tuple[float, float], vocabulary: int, totals: dict[int, int]):
     def make(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         parts: list[pa.Table] = []
@@ -197,22 +208,16 @@ def _scored(limits: tuple[float, float], vocabulary: int, totals: dict[int, int]
             keys, place, word_place, head_place = docs.keys()
             if sum(sizes) != len(keys):
                 raise RuntimeError("a block's keys did not all come back")
-            own_key = docs.owner << 32 | place
-            order = np.argsort(own_key, kind="stable")
-            new = np.flatnonzero(np.append(True, np.diff(own_key[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-            runs = np.diff(np.append(new, len(order))).astype(np.int32)
-            own = np.empty(len(order), np.int32)
-            own[order] = np.repeat(runs, runs)
-            del own_key, order, new, runs
+            own, own_word, own_head = (_own(docs.owner, x) for x in (place, word_place, head_place))
             role = docs.roles[docs.owner]
             losses = []
             for r, name in ((TARGET, "target"), (BACKGROUND, "background")):
                 counts = np.concatenate([np.zeros(0, np.uint32), *[_restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]]).astype(np.int64)
-                mine = np.where(role == r, own, 0)
-                word = np.maximum(counts[word_place] - mine, 0) + 1.0
+                inside = role == r
+                word = counts[word_place] - inside * own_word + 1.0
                 word /= totals[r] + vocabulary
-                head = np.maximum(counts[head_place] - mine, 0)
-                pair = np.where(head > 0, (counts[place] - mine) / np.maximum(head, 1), word)
+                head = counts[head_place] - inside * own_head
+                pair = np.where(head > 0, (counts[place] - inside * own) / np.maximum(head, 1), word)
                 loss = -np.log(BIGRAM * pair + (1 - BIGRAM) * word)
                 losses.append(np.bincount(docs.owner, loss, minlength=len(docs.lengths)) / np.maximum(docs.lengths, 1))
             parts.append(pa.table({"doc_id": pa.array(docs.doc_ids, pa.int64()), "n_words": pa.array(docs.lengths), "target_loss": losses[0], "background_loss": losses[1]}))
