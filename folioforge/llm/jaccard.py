@@ -260,7 +260,7 @@ class NearSets:
             rows = written(rows, "near-split")
             if rows.isEmpty():
                 break
-            if found is None:
+            if found is None and hubs:
                 right = rows.groupBy("token").agg(F.min(row).alias("hub")).select("token", "hub.*")
                 left = rows
             else:
