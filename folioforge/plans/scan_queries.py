@@ -173,6 +173,21 @@ def ngrams_jaccard(spark, sf_dir):
     return near.select("book_id", "line_no", "other_line", F.round(X.jaccard(F.col("g"), F.col("h")), 9).alias("jaccard")).where("jaccard > 0")
 
 
+def gram_pairs(rows: DataFrame) -> DataFrame:
+    """Of book_id, line_no, g: all pairs of a book's lines that share a gram, and their similarity, by an equi-join on the grams."""
+    posted = rows.select("book_id", "line_no", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    other = posted.select("book_id", "gram", F.col("line_no").alias("other_line"), F.col("n").alias("m"))
+    shared = posted.join(other, ["book_id", "gram"]).where(F.col("line_no") < F.col("other_line"))
+    shared = shared.groupBy("book_id", "line_no", "other_line", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    return shared.select("book_id", "line_no", "other_line", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 9).alias("jaccard"))
+
+
+@register("ngrams_jaccard_whole")
+def ngrams_jaccard_whole(spark, sf_dir):
+    """ngrams_jaccard without the limits of its SQL: lines of every length, and however far apart in their book."""
+    return gram_pairs(folded(spark, sf_dir).select("book_id", "line_no", X.ngrams(X.repetition_key(F.col("folded"))).alias("g")))
+
+
 @register("simhash")
 def simhash(spark, sf_dir):
     rows = folded(spark, sf_dir).withColumn("key", X.repetition_key(F.col("folded"))).where(F.length("key").between(*R.NEAR_KEY))
