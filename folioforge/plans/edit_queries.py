@@ -8,7 +8,7 @@ from folioforge.functions import rules as R
 from folioforge.functions import text as X
 from folioforge.operators import edits, layout, structure
 from folioforge.plans.corpus import book_lines
-from folioforge.plans.scan_queries import BASE, HEADED, RANKED, q, ranked
+from folioforge.plans.scan_queries import BASE, HEADED, RANKED, q, ranked, register_whole
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,9 +92,9 @@ def markdown_export(spark, sf_dir):
     return made.select("book_id", F.md5("markdown").alias("md5"), (layout.text_of_markdown(F.col("markdown")) == F.col("text")).alias("restored"))
 
 
-def reviewed(spark, sf_dir):
-    """Candidates of the exact and pattern layers with a review each, made by rule."""
-    rows = ranked(spark, sf_dir)
+def reviewed(spark, sf_dir, layers=ranked):
+    """Candidates with a review each, made by rule; those of the exact and pattern layers unless told otherwise."""
+    rows = layers(spark, sf_dir)
     verdict = F.when(F.col("rank") % 5 == 0, "keep").when((F.col("strength") == "strong") & (F.col("risk") == "low"), "delete").otherwise("uncertain")
     strategy = F.when(F.col("rank") % 3 == 0, "exact").when(F.col("rank") % 3 == 1, "remove_paragraph").otherwise("fallback_newline")
     reviews = rows.select("book_id", "candidate_id", verdict.alias("verdict"), F.lit(0.9).alias("confidence"), F.lit("rule").alias("reason"), strategy.alias("strategy"))
@@ -115,23 +115,23 @@ ap AS (SELECT tx.book_id, coalesce((SELECT string_agg(substring(text, kept_from
 """
 
 
-def applied(spark, sf_dir):
+def applied(spark, sf_dir, layers=ranked):
     lines = book_lines(spark, sf_dir)
-    candidates, reviews = reviewed(spark, sf_dir)
+    candidates, reviews = reviewed(spark, sf_dir, layers)
     decisions = edits.compile_decisions(candidates, reviews)
     return lines, decisions, edits.build_operations(decisions, lines)
 
 
 @register("compile_decisions", f"{DECIDED} SELECT book_id, candidate_id, verdict, strategy, occurrence_count FROM dc")
-def compile_decisions(spark, sf_dir):
-    candidates, reviews = reviewed(spark, sf_dir)
+def compile_decisions(spark, sf_dir, layers=ranked):
+    candidates, reviews = reviewed(spark, sf_dir, layers)
     return edits.compile_decisions(candidates, reviews).select("book_id", "candidate_id", "verdict", "strategy", "occurrence_count")
 
 
 @register("review_coverage", f"""{DECIDED} SELECT book_id, candidate_id, 'missing' AS problem FROM dc WHERE rank % 11 = 0
 UNION ALL SELECT book_id, candidate_id, 'duplicate' FROM dc WHERE rank % 13 = 0 AND rank % 11 <> 0 UNION ALL SELECT DISTINCT book_id, 'AD-none', 'unexpected' FROM dc WHERE rank = 1""")
-def review_coverage(spark, sf_dir):
-    candidates, reviews = reviewed(spark, sf_dir)
+def review_coverage(spark, sf_dir, layers=ranked):
+    candidates, reviews = reviewed(spark, sf_dir, layers)
     number = F.substring("candidate_id", 4, 20).cast("int")
     kept = reviews.where(number % 11 != 0)
     return edits.coverage(candidates, kept.unionByName(kept.where(number % 13 == 0)).unionByName(reviews.where(number == 1).withColumn("candidate_id", F.lit("AD-none"))))
@@ -144,8 +144,8 @@ def review_violations(spark, sf_dir):
 
 
 @register("op_build", f"{DECIDED} SELECT book_id, candidate_id, op_start, op_end, original, replacement FROM op")
-def op_build(spark, sf_dir):
-    return applied(spark, sf_dir)[2]
+def op_build(spark, sf_dir, layers=ranked):
+    return applied(spark, sf_dir, layers)[2]
 
 
 @register("overlap_check", "SELECT * FROM (VALUES (1, 'b', 5, 8), (1, 'c', 6, 8)) AS t(book_id, candidate_id, op_start, reach)")
@@ -154,14 +154,14 @@ def overlap_check(spark, sf_dir):
 
 
 @register("apply_splice", f"{DECIDED} SELECT book_id, md5(after) AS md5, length(after) AS n_chars FROM ap")
-def apply_splice(spark, sf_dir):
-    lines, _, operations = applied(spark, sf_dir)
+def apply_splice(spark, sf_dir, layers=ranked):
+    lines, _, operations = applied(spark, sf_dir, layers)
     return edits.apply_operations(structure.texts_of_lines(lines), operations).select("book_id", F.md5("text").alias("md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 @register("replay_check", f"{DECIDED} SELECT book_id, true AS replayed FROM ap")
-def replay_check(spark, sf_dir):
-    lines, _, operations = applied(spark, sf_dir)
+def replay_check(spark, sf_dir, layers=ranked):
+    lines, _, operations = applied(spark, sf_dir, layers)
     texts = structure.texts_of_lines(lines)
     return edits.replay(texts, operations, edits.apply_operations(texts, operations))
 
@@ -170,45 +170,45 @@ def replay_check(spark, sf_dir):
 d AS (SELECT book_id, candidate_id, count(*) AS done, count(DISTINCT op_start) AS places FROM op GROUP BY ALL)
 SELECT book_id, sum(asked)::BIGINT AS asked, coalesce(sum(done), 0)::BIGINT AS done, sum(greatest(0, asked - coalesce(done, 0)))::BIGINT AS missing, sum(greatest(0, coalesce(done, 0) - asked))::BIGINT AS unexpected, coalesce(sum(done - places), 0)::BIGINT AS double
 FROM a LEFT JOIN d USING (book_id, candidate_id) GROUP BY book_id""")
-def op_accounting(spark, sf_dir):
-    _, decisions, operations = applied(spark, sf_dir)
+def op_accounting(spark, sf_dir, layers=ranked):
+    _, decisions, operations = applied(spark, sf_dir, layers)
     return edits.accounting(decisions, operations)
 
 
 @register("offset_remap", f"""{DECIDED} SELECT st.book_id, st.line_no, CASE WHEN EXISTS (SELECT 1 FROM op WHERE op.book_id = st.book_id AND op_start < st.start_offset + length(stripped) AND op_end > st.start_offset) THEN NULL
   ELSE (st.start_offset + coalesce((SELECT sum(length(replacement) - op_end + op_start) FROM op WHERE op.book_id = st.book_id AND op_end <= st.start_offset), 0))::BIGINT END AS new_offset FROM st""")
-def offset_remap(spark, sf_dir):
-    lines, _, operations = applied(spark, sf_dir)
+def offset_remap(spark, sf_dir, layers=ranked):
+    lines, _, operations = applied(spark, sf_dir, layers)
     return edits.remap(structure.line_offsets(lines).select("book_id", "line_no", "start_offset", "end_offset"), operations)
 
 
 @register("deletion_ratio", f"{DECIDED} SELECT book_id, (length(text) - length(after))::BIGINT AS removed, round((length(text) - length(after)) / greatest(1, length(text))::DOUBLE, 9) AS ratio, (length(text) - length(after)) / greatest(1, length(text))::DOUBLE <= {R.DELETION_LIMIT} AS within_limit FROM ap")
-def deletion_ratio(spark, sf_dir):
-    lines, _, operations = applied(spark, sf_dir)
+def deletion_ratio(spark, sf_dir, layers=ranked):
+    lines, _, operations = applied(spark, sf_dir, layers)
     texts = structure.texts_of_lines(lines)
     return edits.deletion_ratio(texts, edits.apply_operations(texts, operations))
 
 
 @register("rollback_point", f"""{DECIDED}, r AS (SELECT op.*, coalesce(lag(op_end) OVER (PARTITION BY book_id ORDER BY op_start), 0) AS kept_from FROM op WHERE candidate_id <> 'AD-0001')
 SELECT book_id, md5(coalesce((SELECT string_agg(substring(text, kept_from + 1, op_start - kept_from) || replacement, '' ORDER BY op_start) || substring(text, max(op_end) + 1) FROM r WHERE r.book_id = tx.book_id), text)) AS md5 FROM tx""")
-def rollback_point(spark, sf_dir):
-    lines, _, operations = applied(spark, sf_dir)
+def rollback_point(spark, sf_dir, layers=ranked):
+    lines, _, operations = applied(spark, sf_dir, layers)
     rest = edits.without_point(operations, F.col("candidate_id") == "AD-0001")
     return edits.apply_operations(structure.texts_of_lines(lines), rest).select("book_id", F.md5("text").alias("md5"))
 
 
 @register("chapter_identity", f"""{DECIDED}, gone AS (SELECT DISTINCT ch.book_id, ch.line_no FROM ch JOIN op ON op.book_id = ch.book_id AND op_start < ch.end_offset AND op_end > ch.start_offset)
 SELECT book_id, count(*) AS chapters, (count(*) - (SELECT count(*) FROM gone WHERE gone.book_id = ch.book_id))::BIGINT AS kept FROM ch GROUP BY book_id""")
-def chapter_identity(spark, sf_dir):
-    lines, _, operations = applied(spark, sf_dir)
+def chapter_identity(spark, sf_dir, layers=ranked):
+    lines, _, operations = applied(spark, sf_dir, layers)
     moved = edits.remap(structure.headings(lines).select("book_id", "line_no", "start_offset", "end_offset"), operations)
     return moved.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.count("new_offset").alias("kept"))
 
 
 @register("protected_hits", f"{RANKED} SELECT book_id, candidate_id, term FROM (SELECT book_id, 'AD-' || lpad(rank::VARCHAR, 4, '0') AS candidate_id, sample FROM ck) c, (VALUES ('最新章节'), ('整理'), ('房间')) AS t(term) WHERE contains(sample, term)")
-def protected_hits(spark, sf_dir):
+def protected_hits(spark, sf_dir, layers=ranked):
     terms = F.array(F.lit("最新章节"), F.lit("整理"), F.lit("房间"))
-    return ranked(spark, sf_dir).select("book_id", "candidate_id", F.explode(F.filter(terms, lambda t: F.contains(F.col("sample"), t))).alias("term"))
+    return layers(spark, sf_dir).select("book_id", "candidate_id", F.explode(F.filter(terms, lambda t: F.contains(F.col("sample"), t))).alias("term"))
 
 
 @register("wilson", """WITH z AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS k, 1.959963984540054::DOUBLE AS z FROM documents GROUP BY source)
@@ -223,3 +223,6 @@ def wilson(spark, sf_dir):
 def corpus_rollup(spark, sf_dir):
     sizes = structure.book_sizes(book_lines(spark, sf_dir))
     return sizes.agg(F.count(F.lit(1)).alias("books"), F.sum("text_length").alias("chars"), F.max("text_length").alias("most"), F.min("text_length").alias("least"))
+
+
+register_whole(QUERIES)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -363,9 +366,14 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.candidates(l1.unionByName(l3))
 
 
+def ranked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all four layers. DuckDB has no SimHash, so the queries over these have no SQL."""
+    return scan.candidates(scan.cascade(book_lines(spark, sf_dir)))
+
+
 @register("candidate_rank", f"{RANKED} SELECT book_id, rank, 'AD-' || lpad(rank::VARCHAR, 4, '0') AS candidate_id, layer, occurrence_count, strength, priority, risk, sample FROM ck")
-def candidate_rank(spark, sf_dir):
-    return ranked(spark, sf_dir).select("book_id", "rank", "candidate_id", "layer", "occurrence_count", "strength", "priority", "risk", "sample")
+def candidate_rank(spark, sf_dir, layers=ranked):
+    return layers(spark, sf_dir).select("book_id", "rank", "candidate_id", "layer", "occurrence_count", "strength", "priority", "risk", "sample")
 
 
 @register(
@@ -373,8 +381,8 @@ def candidate_rank(spark, sf_dir):
     f"""{RANKED} SELECT book_id, ((rank - 1) // 10 + 1)::BIGINT AS page, count(*) AS record_count,
     sha256(string_agg('AD-' || lpad(rank::VARCHAR, 4, '0') || '|' || sample, chr(10) ORDER BY rank)) AS page_sha256 FROM ck GROUP BY ALL""",
 )
-def page_manifest(spark, sf_dir):
-    return scan.pages(ranked(spark, sf_dir), 10)
+def page_manifest(spark, sf_dir, layers=ranked):
+    return scan.pages(layers(spark, sf_dir), 10)
 
 
 @register(
@@ -382,9 +390,19 @@ def page_manifest(spark, sf_dir):
     f"""{RANKED}, p AS (SELECT book_id, ((rank - 1) // 10 + 1)::BIGINT AS page, count(*) AS n FROM ck GROUP BY ALL)
     SELECT book_id, page, CASE WHEN book_id % 5 = 1 AND page = 1 THEN 'missing' WHEN book_id % 5 = 2 AND page = 1 THEN 'extra' WHEN book_id % 5 = 3 AND page = 1 THEN 'changed' ELSE 'ok' END AS state FROM p""",
 )
-def page_integrity(spark, sf_dir):
+def page_integrity(spark, sf_dir, layers=ranked):
     """Pages with one loss, one stray page and one changed page planted in every five books."""
-    whole = scan.pages(ranked(spark, sf_dir), 10)
+    whole = scan.pages(layers(spark, sf_dir), 10)
     planted = lambda k: (F.col("book_id") % 5 == k) & (F.col("page") == 1)
     declared = whole.where(~planted(2)).withColumn("page_sha256", F.when(planted(3), F.lit("0")).otherwise(F.col("page_sha256")))
     return scan.page_integrity(declared, whole.where(~planted(1)))
+
+
+def register_whole(queries: dict) -> None:
+    """Each of the queries over ranked() again over all four layers, with `_whole` after its name; their SQL holds for ranked() only."""
+    for name, f in list(queries.items()):
+        if "layers" in inspect.signature(f).parameters:
+            queries[f"{name}_whole"] = functools.partial(f, layers=ranked_whole)
+
+
+register_whole(QUERIES)

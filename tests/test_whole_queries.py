@@ -31,3 +31,10 @@ def test_all_lines_of_a_book_are_paired(spark, table):
     got = {(r.book_id, r.line_no, r.other_line): round(r.jaccard, 6) for r in scan_queries.QUERIES["ngrams_jaccard_whole"](spark, table).collect()}
     assert got == want
     assert any(b - a > 30 for _, a, b in got) and any(len(r.key) > 40 for r in rows)
+
+
+def test_near_repetitions_are_ranked(spark, table):
+    rows = scan_queries.QUERIES["candidate_rank_whole"](spark, table).where("layer = 'L2'").collect()
+    assert [(r.occurrence_count, r.sample) for r in rows] == [(3, NEAR + "t")]
+    paged = scan_queries.QUERIES["page_manifest_whole"](spark, table).agg(F.sum("record_count")).first()[0]
+    assert paged == scan_queries.QUERIES["candidate_rank"](spark, table).count() + 1
