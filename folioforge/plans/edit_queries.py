@@ -8,7 +8,7 @@ from folioforge.functions import rules as R
 from folioforge.functions import text as X
 from folioforge.operators import edits, layout, structure
 from folioforge.plans.corpus import book_lines
-from folioforge.plans.scan_queries import BASE, HEADED, RANKED, q, ranked, register_whole
+from folioforge.plans.scan_queries import BASE, HEADED, RANKED, q, ranked, ranked_whole, register_whole
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,6 +73,16 @@ def safe_punctuation(spark, sf_dir):
     return rows.select("id", layout.safe_punctuation(F.col("line")).alias("line"))
 
 
+@register("blank_collapse_whole")
+def blank_collapse_whole(spark, sf_dir):
+    return layout.collapse_blank(book_lines(spark, sf_dir))
+
+
+@register("safe_punctuation_whole")
+def safe_punctuation_whole(spark, sf_dir):
+    return book_lines(spark, sf_dir).select("book_id", "line_no", layout.safe_punctuation(F.col("raw")).alias("line"))
+
+
 @register("layout_normalize", f"""{HEADED}, b AS (SELECT bl.*, regexp_replace(bl.raw, {q(f'^{R.WS}+|{R.WS}+$')}, '', 'g') AS s, ch.title IS NOT NULL AS h FROM bl LEFT JOIN ch ON bl.book_id = ch.book_id AND bl.line_no = ch.line_no),
 g AS (SELECT *, sum(CASE WHEN s = '' THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY line_no) AS run FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY book_id, run, s = '' ORDER BY line_no) AS nth FROM g)
@@ -226,3 +236,17 @@ def corpus_rollup(spark, sf_dir):
 
 
 register_whole(QUERIES)
+
+
+@register("review_violations_whole")
+def review_violations_whole(spark, sf_dir):
+    """Over the reviews of all candidates, with a verdict that is not known planted in one of seven."""
+    _, reviews = reviewed(spark, sf_dir, ranked_whole)
+    planted = F.substring("candidate_id", 4, 20).cast("int") % 7 == 0
+    reviews = reviews.withColumn("verdict", F.when(planted, "drop").otherwise(F.col("verdict")))
+    return edits.review_violations(reviews).select("book_id", "candidate_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("overlap_check_whole")
+def overlap_check_whole(spark, sf_dir):
+    return edits.overlaps(applied(spark, sf_dir, ranked_whole)[2])

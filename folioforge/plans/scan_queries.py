@@ -208,6 +208,14 @@ def cn_number(spark, sf_dir):
     return rows.select("numeral", X.cn_number(F.col("numeral")).cast("int").alias("number"))
 
 
+@register("cn_number_whole")
+def cn_number_whole(spark, sf_dir):
+    """The numbers of all headings."""
+    rows = book_lines(spark, sf_dir).where(F.length("raw") <= 400).withColumn("heading", X.heading(F.col("raw")))
+    rows = rows.where("heading is not null").select("book_id", "line_no", F.col("heading.number").alias("numeral"))
+    return rows.select("book_id", "line_no", "numeral", X.cn_number(F.col("numeral")).cast("int").alias("number"))
+
+
 @register("chapters", f"{HEADED} SELECT book_id, chapter_index, title, number, start_offset, chapter_end, size FROM ch")
 def chapters(spark, sf_dir):
     return structure.chapters(book_lines(spark, sf_dir)).select("book_id", "chapter_index", "title", "number", "start_offset", "chapter_end", "size")

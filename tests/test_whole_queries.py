@@ -1,12 +1,14 @@
 """The queries that their SQL cannot follow, against brute force over a small table."""
 
+import re
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
-from folioforge.plans import scan_queries
+from folioforge.plans import edit_queries, scan_queries
+from folioforge.plans.corpus import book_lines
 
 NEAR = "the lamp in the harbour house burned through the whole of that long winter night and nobody came to put it ou"
 
@@ -38,3 +40,31 @@ def test_near_repetitions_are_ranked(spark, table):
     assert [(r.occurrence_count, r.sample) for r in rows] == [(3, NEAR + "t")]
     paged = scan_queries.QUERIES["page_manifest_whole"](spark, table).agg(F.sum("record_count")).first()[0]
     assert paged == scan_queries.QUERIES["candidate_rank"](spark, table).count() + 1
+
+
+def test_operators_run_over_the_whole_table(spark, table):
+    lines = {(r.book_id, r.line_no): r.raw for r in book_lines(spark, table).collect()}
+    marks = {",": "，", ".": "。", "!": "！", "?": "？", ":": "：", ";": "；"}
+    got = {(r.book_id, r.line_no): r.line for r in edit_queries.QUERIES["safe_punctuation_whole"](spark, table).collect()}
+    assert got.keys() == lines.keys()
+    for k, raw in lines.items():
+        assert len(got[k]) == len(raw) and all(a == b or marks.get(a) == b for a, b in zip(raw, got[k]))
+    kept, before = {}, {}
+    for k, raw in sorted(lines.items()):
+        blank = not raw.strip()
+        if not (blank and before.get(k[0])):
+            kept[k] = "" if blank else raw
+        before[k[0]] = blank
+    assert {(r.book_id, r.line_no): r.raw for r in edit_queries.QUERIES["blank_collapse_whole"](spark, table).collect()} == kept
+    numbers = scan_queries.QUERIES["cn_number_whole"](spark, table).collect()
+    assert len(numbers) == scan_queries.QUERIES["heading_match"](spark, table).count() > 0
+    assert all(r.number == int(r.numeral) for r in numbers if re.fullmatch("[0-9]+", r.numeral or ""))
+
+
+def test_reviews_and_operations_of_the_whole_table(spark, table):
+    ranks = [(r.book_id, r.candidate_id) for r in scan_queries.ranked_whole(spark, table).where("rank % 7 = 0").collect()]
+    got = edit_queries.QUERIES["review_violations_whole"](spark, table).collect()
+    assert sorted((r.book_id, r.candidate_id) for r in got) == sorted(ranks) and all(r.violations == "verdict" for r in got)
+    operations = edit_queries.QUERIES["op_build_whole"](spark, table).collect()
+    want = [a for a in operations if any(b.book_id == a.book_id and (b.op_start, b.op_end, b.candidate_id) < (a.op_start, a.op_end, a.candidate_id) and b.op_end > a.op_start for b in operations)]
+    assert edit_queries.QUERIES["overlap_check_whole"](spark, table).count() == len(want)
