@@ -72,8 +72,13 @@ def select_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
     return [r["term"] for r in best.orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS).collect()]
 
 
+def row_of() -> Column:
+    """The SHA-256 of the text, null as empty: rows of one text have one score."""
+    return F.unhex(F.sha2(text_of(), 256))
+
+
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms (numbers in `terms`), counts: of the whole texts."""
+    """doc_id, row (see row_of), terms (numbers in `terms`), counts: of the whole texts."""
     small_batches(docs.sparkSession)
     numbers = {t: i for i, t in enumerate(terms)}
 
@@ -84,7 +89,7 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
             out_terms, out_counts = [], []
             if len(known) > KEPT:
                 known.clear()
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found: Counter = Counter()
                 for word in split(text.lower()) if text and numbers else ():
                     hit = known.get(word)
@@ -95,10 +100,10 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
                 order = sorted(found)
                 out_terms.append(order)
                 out_counts.append([found[t] for t in order])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_terms, pa.list_(pa.int32())), pa.array(out_counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out_terms, pa.list_(pa.int32())), pa.array(out_counts, pa.list_(pa.int32()))], ["doc_id", "row", "terms", "counts"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, terms array<int>, counts array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_of().alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(make, "doc_id long, row binary, terms array<int>, counts array<int>")
 
 
 class BlockMaxIndex:
@@ -183,6 +188,10 @@ def _logit(p: float) -> float:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, and the evidence: neighbour_ids, cosines, neighbour_toxic."""
+    return _scored(docs, labels).drop("row")
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     examples = written(examples_of(docs, labels), "toxic-examples")
     terms = select_terms(docs, examples)
@@ -202,7 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if seen:
         index.calibrate([vectors[i] for i in seen], prior)
     shared = spark.sparkContext.broadcast(index)  # MAX_TERMS by MAX_EXAMPLES weights at most
-    schema = "doc_id long, score double, neighbour_ids array<long>, cosines array<double>, neighbour_toxic array<int>"
+    schema = "doc_id long, row binary, score double, neighbour_ids array<long>, cosines array<double>, neighbour_toxic array<int>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, done = shared.value, {}
@@ -210,7 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores, ids, cosines, votes = [], [], [], []
             if len(done) > KEPT:
                 done.clear()
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 key = (tuple(t), tuple(c))
                 if key not in done:
                     places, cos = index.nearest(dict(zip(t, c)), NEIGHBOURS) if t and index.blocks else (np.zeros(0, np.int64), np.zeros(0))
@@ -219,16 +228,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 for out, value in zip((scores, ids, cosines, votes), done[key]):
                     out.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int32()))],
-                ["doc_id", "score", "neighbour_ids", "cosines", "neighbour_toxic"],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int32()))],
+                ["doc_id", "row", "score", "neighbour_ids", "cosines", "neighbour_toxic"],
             )
 
     scored = rows.mapInArrow(make, schema)
     predicted = (F.col("score") >= 0.5).cast("int")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "neighbour_ids", "cosines", "neighbour_toxic")
+    return scored.select("doc_id", "row", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "neighbour_ids", "cosines", "neighbour_toxic")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more."""
-    bad = score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """docs without those that score 0.5 or more. The score is of the text, so each row goes or stays by its own text, whether its
+    doc_id is null, repeated or neither."""
+    bad = _scored(docs, labels).where("predicted = 1").select(F.col("row").alias("__bad")).distinct()
+    return docs.join(bad, row_of() == bad["__bad"], "left_anti")
