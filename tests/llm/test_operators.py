@@ -159,14 +159,31 @@ def test_cuts_follow_the_content():
 
 
 def test_warc_round_trip(spark):
-    page = "<html>" + "x" * 120 + "</html>"
+    """Copies, repeated rows, nulls, a long page, text that looks like record ends, clashing columns, and an empty table."""
+    page, long_page = "<html>" + "x" * 120 + "</html>", "".join(f"{i} " for i in range(400_000))
     rows = [(1, "http://www.Example.com:80/a?b=1#f", page), (2, "https://example.com/a?b=1", page), (3, None, None), (4, "http://e.org", "small"), (5, "http://e.org", "small"), (6, "http://h.net/p\r\n", "a\r\n\r\nb" * 50)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.archived_pages(pages).collect()}
-    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    rows += [(7, "http://l.org/", long_page), (8, "http://d.org/", page + "d"), (8, "http://d.org/", page + "d"), (None, "http://n.org/", page + "n"), (9, "http://n.org/", page + "n")]
+    schema = "page_id long, url string, html string, digest string, file string, place string, record_type string"
+    pages = spark.createDataFrame([(*r, "d", "f", "p", "t") for r in rows], schema)
+    found = warc.archived_pages(pages).collect()
+    got = {r.page_id: r for r in found if r.page_id != 8}
+    want = {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None), None: ("response", None), 9: ("revisit", None)}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == want
+    assert sorted((r.record_type, r.refers_to or 0) for r in found if r.page_id == 8) == [("response", 0), ("revisit", 8)]
     for i, _, html in rows:
-        assert (got[i].payload_bytes, got[i].payload_digest) == (len((html or "").encode()), hashlib.sha256((html or "").encode()).hexdigest())
+        for r in found:
+            if r.page_id == i:
+                assert (r.payload_bytes, r.payload_digest) == (len((html or "").encode()), hashlib.sha256((html or "").encode()).hexdigest())
     assert got[1].url_key == "com,example)/a?b=1"
+    assert warc.archived_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_key_is_found_by_range_reads(spark, tmp_path):
+    """Only the block that the directory names is read, and keys that are not there are not found."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i % 50}", f"page {i}") for i in range(3000)], "page_id long, url string, html string")
+    index = warc.archive(pages, f"file://{tmp_path}/w")
+    asked = spark.createDataFrame([("org,h3)/3", 3), ("org,h3)/3", 353), ("org,none)/", 3)], "url_key string, page_id long")
+    assert sorted((r.page_id, r.payload_digest) for r in index.lookup(asked).collect()) == sorted((i, hashlib.sha256(f"page {i}".encode()).hexdigest()) for i in (3, 353))
 
 
 def test_nearest_examples_are_exact(spark):
