@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.arrowtools import binary_column, bytes_of, complete_groups, packed, small_batches, unpacked
 from folioforge.llm.common import written
 from folioforge.llm.components import components
+from folioforge.llm.rowfilter import staying
 from folioforge.llm.wordhash import distinct, mixed, shingle_hashes, word_hashes
 
 #: Bytes of text per fragment, and the fewest and most fragments (powers of two).
@@ -301,16 +302,15 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component: that with its smallest doc_id; rows without words stay."""
-    found = near_components(docs, n, percent).where("n_shingles > 0")
-    leaves = F.max(F.when(~F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0))
-    gone = found.groupBy(F.col("doc_id").alias("__of")).agg(leaves.alias("__gone"), F.count(F.lit(1)).alias("__k"))
-    gone = gone.where("__gone = 1 or __k > 1").select("__of", "__gone")
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__of"]), "left")
-    once = F.row_number().over(Window.partitionBy("__of").orderBy(F.lit(1)))
-    alone = rows.where("__gone is null").select(*docs.columns)
-    repeated = rows.where("__gone = 0").withColumn("__nth", once).where("__nth = 1").select(*docs.columns)
-    return alone.unionByName(repeated)
+    """docs with one row of each component: that with its smallest doc_id; rows without words stay.
+
+    Rows go by their doc_id: where one doc_id has several rows, all of them go if one does, and else one of them stays. Texts are not
+    moved (see rowfilter); other columns stay with their row."""
+    found = near_components(docs, n, percent)
+    leaves = (F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    worded = F.count(F.when(F.col("n_shingles") > 0, 1))
+    verdicts = found.groupBy("doc_id").agg((~F.max(leaves)).alias("stays"), (~F.max(leaves) & (worded > 1)).alias("once"))
+    return staying(docs, [F.col("doc_id").cast("long")], verdicts)
 
 
 #: DuckDB SQL for the same rows, pairing all documents that share an n-gram.

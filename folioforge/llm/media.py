@@ -2,23 +2,26 @@
 
 A payload is a text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64; its samples are 8-bit. A rolling gear hash
 (a byte table, shifted by one per byte, so that it spans 32 bytes) cuts it where its top bits are 0, at least MIN_CHUNK and at
-most MAX_CHUNK bytes after the last cut. A chunk is stored as a bzip2 frame under its SHA-256; a Spark aggregation by digest
-keeps one row per digest, so that only that row's bytes are written. The chunk store is a table of the shared folder, bucketed by
-digest; a payload is an ordered list of digests. Reading joins the lists to the store, puts a payload's frames in order and
-verifies each chunk against its digest and each payload against its SHA-256.
+most MAX_CHUNK bytes after the last cut. A chunk is stored as a zlib frame under its SHA-256.
+
+1. The chunks' digests are counted (64 bits of each). Those that occur more than once make a bitmap, which is broadcast (see rowfilter).
+2. Chunks are joined to the bitmap where they are cut. A payload's row in the store is the ordered list of its chunks' digests with the
+   frames of those that occur nowhere else; those never move. Frames of the other chunks go, once per digest, to the table of
+   shared chunks, and their places to the table of references.
+3. Reading joins the references to the shared chunks by digest (hot digests by a broadcast of bounded size, as there are fewer than
+   HOT of them), brings a payload's parts together in order, and verifies each chunk against its digest and each payload against its
+   SHA-256. A payload without shared chunks is read from its row alone.
 
 Equal texts are one payload, by their SHA-256. The stored form of a payload is its frames in order, each behind its length in 4
 little-endian bytes.
 
-Defined cases: a null text is the empty text, whose payload is 64 bytes 0; repeated rows share one payload; an empty table gives an
-empty result; other columns are not read.
+Defined cases: a null text is the empty text, whose payload is 64 bytes 0; a very long text is many chunks of one payload; repeated rows
+share one payload; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import bz2
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import complete_groups, small_batches
-from folioforge.llm.common import scratch, text_of, written
+from folioforge.llm.common import text_of, written
+from folioforge.llm.rowfilter import bitmap, hot_join, marked
 
 UNIT = 64
 #: Well below the usual text, so that passages that texts share are chunks of their own: 1 KB on average.
 MIN_CHUNK, MAX_CHUNK = 256, 8192
 #: Top bits of the gear hash that are 0 at a cut: one place in 1024.
 CUT_BITS = 10
-#: Block size of the frames in 100 kB; no chunk is larger.
-LEVEL = 1
+#: Level of the frames.
+LEVEL = 6
+#: Payloads that a task remembers before it starts afresh, so as not to store copies again.
+KEPT = 200_000
 _GEAR = np.random.default_rng(4711).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -68,32 +73,95 @@ def gear_cuts(data: bytes) -> list[int]:
     return cuts
 
 
+def _pieces(text: str | None) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Place, how many chunks there are, digest and bytes of each chunk."""
+    data, start = payload_of(text), 0
+    cuts = gear_cuts(data)
+    for place, end in enumerate(cuts):
+        piece = data[start:end]
+        yield place, len(cuts), hashlib.sha256(piece).digest(), piece
+        start = end
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """64 bits of every chunk's digest."""
+    for batch in batches:
+        found = [digest[:8] for text in batch.column(1).to_pylist() for _, _, digest, _ in _pieces(text)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(found), "<i8"))], ["h"])
+
+
+CHUNK = "payload binary, place int, of int, digest binary, piece binary, h long"
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk: the payload's key, place, how many chunks the payload has, digest and frame."""
+    """Every chunk of the payloads that the task has not had yet."""
+    done: set[bytes] = set()
     for batch in batches:
-        keys, places, counts, digests, frames = [], [], [], [], []
-        seen: set[bytes] = set()
-        done: set[bytes] = set()
+        rows: list[tuple] = []
+        size = 0
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if key in done:
                 continue
+            if len(done) >= KEPT:
+                done.clear()
             done.add(key)
-            data, start = payload_of(text), 0
-            cuts = gear_cuts(data)
-            for place, end in enumerate(cuts):
-                piece = data[start:end]
-                digest = hashlib.sha256(piece).digest()
-                keys.append(key)
-                places.append(place)
-                counts.append(len(cuts))
-                digests.append(digest)
-                frames.append(None if digest in seen else bz2.compress(piece, LEVEL))
-                seen.add(digest)
-                start = end
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(digests, pa.binary()), pa.array(frames, pa.binary())],
-            ["payload", "place", "of", "digest", "frame"],
-        )
+            for place, of, digest, piece in _pieces(text):
+                rows.append((key, place, of, digest, piece))
+                size += len(piece)
+                if size > 8_000_000:
+                    yield _chunk_batch(rows)
+                    rows, size = [], 0
+        yield _chunk_batch(rows)
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows)] or [[]] * 5
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    h = pa.array(np.frombuffer(b"".join(d[:8] for d in columns[3]), "<i8"))
+    return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds)], h], [x.split()[0] for x in CHUNK.split(", ")])
+
+
+#: kind 0: a payload's digests, and the lengths (0 where shared) and bytes of its own frames; 1: a shared chunk, by its digest; 2: a
+#: reference of a payload to a shared chunk.
+PART = "kind int, payload binary, place int, digest binary, lengths binary, frames binary"
+OWN, SHARED, REFERENCE = 0, 1, 2
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of chunks in order, with `shared`: the rows of the store."""
+    seen: set[bytes] = set()
+    open_: list = [None, [], [], []]
+
+    def closed() -> list[tuple]:
+        key, digests, lengths, frames = open_
+        return [] if key is None else [(OWN, key, -1, b"".join(digests), np.array(lengths, "<u4").tobytes(), b"".join(frames))]
+
+    for batch in batches:
+        rows: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c in ("payload", "place", "digest", "piece", "shared")]
+        for key, place, digest, piece, shared in zip(*columns):
+            if place == 0:
+                rows += closed()
+                open_[:] = key, [], [], []
+            if shared:
+                rows.append((REFERENCE, key, place, digest, None, None))
+                if digest not in seen:
+                    rows.append((SHARED, None, None, digest, None, zlib.compress(piece, LEVEL)))
+                    if len(seen) >= KEPT:
+                        seen.clear()
+                    seen.add(digest)
+            frame = b"" if shared else zlib.compress(piece, LEVEL)
+            open_[1].append(digest)
+            open_[2].append(len(frame))
+            open_[3].append(frame)
+        yield _part_batch(rows)
+    yield _part_batch(closed())
+
+
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 6
+    kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in PART.split(", ")])
 
 
 def feature_of(data: bytes) -> str:
@@ -108,66 +176,85 @@ def feature_of(data: bytes) -> str:
 FEATURES = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_chunks int, feature string, verified boolean"
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of chunks in order of payload and place: each payload's figures, from the bytes read back."""
-    for table in complete_groups(batches, "payload"):
-        rows: list[tuple] = []
-        current, whole, media, n, sound = None, [], hashlib.sha256(), 0, True
-        size = 0
+def _figures(key: bytes, digests: bytes, lengths: bytes, own: bytes, shared: dict[int, bytes]) -> tuple:
+    """A payload's figures, from the bytes read back."""
+    whole, media, size, sound, at = [], hashlib.sha256(), 0, True, 0
+    for place, length in enumerate(np.frombuffer(lengths, "<u4").tolist()):
+        frame = own[at : at + length] if length else shared[place]
+        at += length
+        piece = zlib.decompress(frame)
+        sound = sound and hashlib.sha256(piece).digest() == digests[32 * place : 32 * place + 32]
+        whole.append(piece)
+        media.update(len(frame).to_bytes(4, "little"))
+        media.update(frame)
+        size += 4 + len(frame)
+    data = b"".join(whole)
+    return (key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), size, media.hexdigest(), len(whole), feature_of(data), sound)
+
+
+def _figure_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 9
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in FEATURES.split(", ")])
 
-        def close() -> None:
-            data = b"".join(whole)
-            rows.append((current, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), size, media.hexdigest(), n, feature_of(data), sound))
-
-        for key, digest, frame in zip(table["payload"].to_pylist(), table["digest"].to_pylist(), table["frame"].to_pylist()):
-            if key != current:
-                if current is not None:
-                    close()
-                current, whole, media, n, sound, size = key, [], hashlib.sha256(), 0, True, 0
-            piece = bz2.decompress(frame)
-            sound = sound and hashlib.sha256(piece).digest() == digest
-            whole.append(piece)
-            media.update(len(frame).to_bytes(4, "little"))
-            media.update(frame)
-            size += 4 + len(frame)
-            n += 1
-        close()
-        columns = list(zip(*rows))
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in FEATURES.split(", ")])
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of payloads whose frames are all their own."""
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("payload", "digest", "lengths", "frames")]
+        yield _figure_batch([_figures(*x, {}) for x in zip(*columns)])
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of payload and place: a payload's own row, perhaps more than once, then its shared chunks."""
+    held: list = [None, None, {}]
+
+    def closed() -> list[tuple]:
+        return [] if held[0] is None else [_figures(held[0], *held[1], held[2])]
+
+    for batch in batches:
+        rows: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c in ("payload", "place", "digest", "lengths", "frames")]
+        for key, place, digest, lengths, frames in zip(*columns):
+            if key != held[0]:
+                rows += closed()
+                held[:] = key, None, {}
+            if place < 0:
+                held[1] = digest, lengths, frames
+            else:
+                held[2][place] = frames
+        yield _figure_batch(rows)
+    yield _figure_batch(closed())
 
 
 class ChunkStore:
-    """Chunks under their digests, and the ordered lists of digests that payloads are made of."""
+    """Payloads as ordered lists of digests with their own frames, the shared chunks under their digests, and references to these."""
 
-    def __init__(self, chunks: DataFrame, lists: DataFrame):
-        self.chunks, self.lists = chunks, lists
+    def __init__(self, payloads: DataFrame, chunks: DataFrame, references: DataFrame):
+        self.payloads, self.chunks, self.references = payloads, chunks, references
 
     @classmethod
     def of(cls, docs: DataFrame) -> ChunkStore:
-        spark = docs.sparkSession
-        small_batches(spark, 256)
         text = text_of()
         rows = docs.select(F.unhex(F.sha2(text, 256)).alias("payload"), text.alias("text"))
-        found = rows.mapInArrow(_chunked, "payload binary, place int, of int, digest binary, frame binary")
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"folioforge_chunks_{uuid.uuid4().hex}"
-        # One shuffle by digest brings equal chunks together. The first row of a digest keeps the frame, all rows keep the list.
-        from pyspark.sql import Window
-
-        by_digest = Window.partitionBy("digest").orderBy(F.col("frame").isNull(), "payload", "place")
-        marked = found.repartition(buckets, "digest").withColumn("nth", F.row_number().over(by_digest))
-        marked = marked.select("payload", "place", "of", "digest", F.when(F.col("nth") == 1, F.col("frame")).alias("frame"))
-        marked.write.bucketBy(buckets, "digest").sortBy("digest").option("compression", "zstd").option("path", scratch(spark, "chunks")).saveAsTable(name)
-        table = spark.table(name)
-        return cls(table.where("frame is not null").select("digest", "frame"), table.select("payload", "place", "of", "digest").distinct())
+        repeated = written(rows.mapInArrow(_counted, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "media-repeated")
+        found = rows.mapInArrow(_chunked, CHUNK)
+        dealt = marked(found, F.col("h"), bitmap(repeated, repeated.count()), "shared").select("payload", "place", "digest", "piece", "shared")
+        parts = written(dealt.mapInArrow(_stored, PART), "media-store", ["kind"])
+        chunks = parts.where(F.col("kind") == SHARED).groupBy("digest").agg(F.first("frames").alias("frames"))
+        references = parts.where(F.col("kind") == REFERENCE).select("payload", "place", "digest").distinct()
+        return cls(parts.where(F.col("kind") == OWN).drop("kind", "place"), written(chunks, "media-shared"), written(references, "media-references"))
 
     def read(self) -> DataFrame:
-        """A row per payload, rebuilt from the store. Only payloads of several chunks are brought together by a shuffle."""
-        chunks = self.lists.join(self.chunks.hint("merge"), "digest").select("payload", "place", "digest", "frame", "of")
-        alone = chunks.where("of = 1").drop("of").mapInArrow(_rebuilt, FEATURES)
-        several = chunks.where("of > 1").drop("of").repartition("payload").sortWithinPartitions("payload", "place")
-        return alone.unionByName(several.mapInArrow(_rebuilt, FEATURES))
+        """A row per payload, rebuilt from the store."""
+        lacking = F.exists(F.sequence(F.lit(0), F.shiftright(F.length("lengths"), 2) - 1), lambda i: F.hex(F.substring(F.col("lengths"), i * 4 + 1, F.lit(4))) == "00000000")
+        rows = self.payloads.withColumn("lacking", lacking)
+        alone = rows.where("not lacking").drop("lacking").mapInArrow(_alone, FEATURES)
+        own = rows.where("lacking").select("payload", F.lit(-1).alias("place"), "digest", "lengths", "frames")
+        shared = hot_join(self.references, self.chunks, "digest", self.references.count())
+        shared = shared.select("payload", "place", "digest", F.lit(None).cast("binary").alias("lengths"), "frames")
+        parts = own.unionByName(shared).repartition("payload").sortWithinPartitions("payload", "place")
+        return alone.unionByName(parts.mapInArrow(_together, FEATURES))
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -175,4 +262,4 @@ def media_features(docs: DataFrame) -> DataFrame:
     figures = written(ChunkStore.of(docs).read(), "media")
     text = text_of()
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("payload"))
-    return rows.join(figures, "payload").drop("payload")
+    return hot_join(rows, figures, "payload", rows.count()).drop("payload")

@@ -47,6 +47,23 @@ def marked(rows: DataFrame, key: Column, made: tuple[DataFrame, int], name: str)
     return found.withColumn("__place", place).withColumn(name, F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__bits", "__place")
 
 
+#: A key with more than one of this many rows is hot; there are fewer such keys than this.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """The inner join of n rows to a table with one row per key. The rows of hot keys, of which there are fewer than HOT, are joined by a
+    broadcast of their HOT rows of the table at most, so that none of them comes to one task; the others by a shuffle."""
+    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > max(HOT, n // HOT)).select("__hot")
+    hot = written(hot, "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table.hint("merge"), key)
+    few = table.join(F.broadcast(hot), table[key] == hot["__hot"])
+    first = rows.join(F.broadcast(hot), rows[key] == hot["__hot"], "left")
+    rest = first.where("__hot is null").drop("__hot").join(table.hint("merge"), key)
+    return rest.unionByName(first.where("__hot is not null").drop("__hot").join(F.broadcast(few.drop("__hot")), key).select(*rest.columns))
+
+
 def staying(rows: DataFrame, key: list[Column], verdicts: DataFrame) -> DataFrame:
     """The rows that stay. key: the expressions over rows that equal the verdicts' columns besides `stays` (a boolean) and, where
     there is one, `once` (a boolean: of the rows with this key only one stays). Every key of rows has a verdict."""

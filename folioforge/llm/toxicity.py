@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.arrowtools import small_batches
 from folioforge.llm.common import text_of, written
+from folioforge.llm.rowfilter import staying
 
 MAX_EXAMPLES = 8192
 MAX_TERMS = 512
@@ -239,6 +240,6 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more. The score is of the text, so each row goes or stays by its own text, whether its
-    doc_id is null, repeated or neither."""
-    bad = _scored(docs, labels).where("predicted = 1").select(F.col("row").alias("__bad")).distinct()
-    return docs.join(bad, row_of() == bad["__bad"], "left_anti")
+    doc_id is null, repeated or neither. Texts are not moved (see rowfilter); other columns stay with their row."""
+    verdicts = _scored(docs, labels).groupBy("row").agg((F.max("predicted") < 1).alias("stays"))
+    return staying(docs, [row_of()], verdicts)

@@ -145,6 +145,10 @@ def test_media_round_trip(spark, docs, empty):
         data = media.payload_of(texts[0])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.verified) == (len(texts[0].encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), True)
         assert r.feature == media.feature_of(data)
+        ends = media.gear_cuts(data)
+        frames = [zlib.compress(data[a:b], media.LEVEL) for a, b in zip([0, *ends], ends)]
+        stored = b"".join(len(f).to_bytes(4, "little") + f for f in frames)
+        assert (r.media_bytes, r.media_sha256, r.n_chunks) == (len(stored), hashlib.sha256(stored).hexdigest(), len(frames))
     assert media.media_features(empty).count() == 0
 
 
