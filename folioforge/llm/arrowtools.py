@@ -1,12 +1,9 @@
-"""Arrow columns to and from flat NumPy buffers, and streams of whole groups."""
+"""Arrow columns to and from flat NumPy buffers, and whole numbers in few bytes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 
@@ -15,15 +12,18 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def packed(values: np.ndarray, width: int) -> np.ndarray:
-    """The lowest `width` bytes of each value, one after another, most significant first."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].reshape(-1)
+def squeezed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    kind = np.dtype(kind)
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(data: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, 8 - width :] = data.reshape(-1, width)
-    return out.view(">u8").reshape(-1).astype(np.uint64)
+def restored(data: bytes, k: int, kind: str = "<u4") -> np.ndarray:
+    """The k numbers that squeezed() got."""
+    kind = np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=kind.itemsize * k, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, k).T).view(kind).reshape(-1)
 
 
 def binary_column(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -49,23 +49,3 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers from starts[i] on, lengths[i] of them, for one i after another."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def complete_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Of batches in order of key: tables that hold whole groups only."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch.column(key)
-        last = keys[len(keys) - 1].as_py()
-        if held and held[0].column(key)[0].as_py() == last and keys[0].as_py() == last:
-            held.append(batch)
-            continue
-        at = pc.index(keys, keys[len(keys) - 1]).as_py()
-        table = pa.Table.from_batches([*held, batch.slice(0, at)])
-        held = [batch.slice(at)]
-        if len(table):
-            yield table
-    if held:
-        yield pa.Table.from_batches(held)

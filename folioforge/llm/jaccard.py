@@ -1,22 +1,26 @@
 """Jaccard join of word n-gram sets by vertical partitioning.
 
-1. One pass over the texts hashes each document's n-grams. Documents with the same set are one node. The n-gram space is cut
-   into fragments (ranges of the hash), and a node sends each fragment its segment: 5 bytes per n-gram.
-2. A fragment counts in how many nodes each of its n-grams occurs and keeps those of at least two nodes. The global order is by
-   that frequency, rare first, then by hash.
+1. Rows with the same text are one text. One pass over the texts hashes each one's n-grams, in blocks of texts of about BLOCK_TEXT bytes.
+   The n-gram space is cut into fragments (ranges of the hash), whose number follows the input, and a block sends each fragment one
+   segment: its n-grams in order and which of the block's texts has each. So a segment is as long as the block makes it, and not
+   shorter per text the more fragments there are.
+2. A fragment counts in how many texts each of its n-grams occurs and keeps those of at least two. The global order is by that
+   frequency, rare first, then by hash. What is left goes back to the blocks. Texts with the same set are one node.
 3. A node can only have partners if enough of its n-grams are shared. Of such a node the first n-grams in the global order (as
    many as one of them must be common with any partner) are posted.
 4. Candidates are made without pairing off whole groups: each node first meets one hub of its posting lists, then in each round
    more hubs, members of the list's largest component by then, and only nodes that are still in different components are paired
    one by one, under the length and position bounds. Rounds only save work: the last one pairs all that they left.
-5. Candidates are verified by vertical partitioning again: every fragment counts the partial overlap of each pair, and a pair's
-   partial counts are summed. Links are exact for the sets of hashes.
+5. Candidates are verified by vertical partitioning again: the global order is cut into CHECK_FRAGMENTS fragments, each of which counts
+   the partial overlap of each pair, and a pair's partial counts are summed. Their number is the same at every size of input;
+   what grows is the number of buckets that pairs are dealt to, and a node's n-grams travel once to each bucket that has pairs of it.
+   Links are exact for the sets of hashes.
 6. Components come from star contraction.
 
 Defined cases: a null text has an empty set; without words the set is empty, linked with nothing; with fewer words than n the whole
 sequence is the one n-gram; rows with the same doc_id are rows of one document each; a null doc_id links like any other and
-is never a component's name unless all are null; an empty table gives an empty result; other columns are not read. N-grams are
-compared by 64-bit hashes, and within a fragment by fragment and 40 more bits.
+is never a component's name unless all are null; very long texts are hashed whole, each in a block of its own; an empty table gives an empty
+result; other columns are not read. N-grams are counted by 64-bit hashes, and compared by 58 bits of them and their frequency class.
 """
 
 from __future__ import annotations
@@ -25,118 +29,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import binary_column, bytes_of, complete_groups, packed, small_batches, unpacked
-from folioforge.llm.common import written
+from folioforge.llm.arrowtools import binary_column, bytes_of, restored, squeezed
+from folioforge.llm.common import text_of, written
 from folioforge.llm.components import components
-from folioforge.llm.rowfilter import staying
+from folioforge.llm.rowfilter import hot_join, staying
 from folioforge.llm.wordhash import distinct, mixed, shingle_hashes, word_hashes
 
-#: Bytes of text per fragment, and the fewest and most fragments (powers of two).
+#: Bytes of text per fragment, and the most fragments (a power of two).
 FRAGMENT_TEXT = 20_000_000
-MIN_BITS, MAX_BITS = 6, 18
+MAX_BITS = 18
+#: Bytes and rows of a block of texts, about.
+BLOCK_TEXT, BLOCK_ROWS = 8_000_000, 60_000
 #: Hubs that a node meets per round before the nodes of different components are paired one by one.
 HUBS = (1, 12)
-TOKEN_BITS = 40
-#: Rows hashed at once.
-ROWS = 512
+#: Fragments of the global order in which candidates are verified (a power of two), and bytes of n-grams per bucket of pairs.
+CHECK_BITS = 2
+BUCKET_BYTES = 16_000_000
+#: Bits of the frequency class in front of an n-gram's hash.
+LEVEL_BITS = 6
+
+
+#: A segment, or the head row of a block (k texts: digests, nodes as keys, sizes as owners), dealt to a fragment like a segment.
+SEGMENT = "block long, head boolean, fragment int, k int, keys binary, owners binary, digests binary"
 
 
 def _segments(bits: int, n: int):
-    shift = np.uint64(64 - bits)
-    rest = np.uint64(64 - bits - TOKEN_BITS)
-    mask = np.uint64((1 << TOKEN_BITS) - 1)
+    def flush(block: int, digests: list[bytes], hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        size, keys = np.concatenate(sizes), np.concatenate(hashes)
+        owners = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+        sums = np.zeros(len(size), np.uint64)
+        np.add.at(sums, owners, mixed(keys ^ np.uint64(0x5851F42D4C957F2D)))
+        nodes = mixed(sums + mixed(size.astype(np.uint64)))
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        fragments = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+        starts = np.flatnonzero(np.append(True, fragments[1:] != fragments[:-1])) if len(keys) else np.zeros(0, np.int64)
+        ends = [*starts[1:].tolist(), len(keys)] if len(keys) else []
+        spans = list(zip(starts.tolist(), ends))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(1 + len(spans), block)),
+                pa.array([True] + [False] * len(spans)),
+                pa.array([block % (1 << bits), *fragments[starts].tolist()], pa.int32()),
+                pa.array([len(size), *[e - s for s, e in spans]], pa.int32()),
+                pa.array([nodes.tobytes(), *[squeezed(np.diff(keys[s:e], prepend=np.uint64(0)), "<u8") for s, e in spans]], pa.binary()),
+                pa.array([size.astype("<u4").tobytes(), *[squeezed(owners[s:e]) for s, e in spans]], pa.binary()),
+                pa.array([b"".join(digests)] + [None] * len(spans), pa.binary()),
+            ],
+            [x.split()[0] for x in SEGMENT.split(", ")],
+        )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size, digests, hashes, sizes = TaskContext.get().partitionId() << 32, 0, [], [], []
         for whole in batches:
-            for at in range(0, len(whole), ROWS):
-                batch = whole.slice(at, ROWS)
-                ids = batch.column(0)
-                words, counts = word_hashes(batch.column(1).to_pylist())
-                hashes, owners = distinct(*shingle_hashes(words, counts, n))
-                sizes = np.bincount(owners, minlength=len(batch)).astype(np.int64)
-                sums = np.zeros(len(batch), np.uint64)
-                np.add.at(sums, owners, mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)))
-                nodes = mixed(sums + mixed(sizes.astype(np.uint64))).view(np.int64)
-                fragments = (hashes >> shift).astype(np.int32)
-                new = np.ones(len(hashes), bool)
-                new[1:] = (owners[1:] != owners[:-1]) | (fragments[1:] != fragments[:-1])
-                starts = np.flatnonzero(new)
-                lengths = np.diff(np.append(starts, len(hashes)))
-                of = owners[starts]
-                # The heads carry the documents; they are dealt to fragments like segments, but have no bytes.
-                head = (nodes.view(np.uint64) >> shift).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([ids, pa.nulls(len(of), pa.int64())]),
-                        pa.array(np.concatenate([np.ones(len(batch), bool), np.zeros(len(of), bool)])),
-                        pa.array(np.concatenate([nodes, nodes[of]])),
-                        pa.array(np.concatenate([sizes, sizes[of]]).astype(np.int32)),
-                        pa.array(np.concatenate([head, fragments[starts]])),
-                        binary_column(packed((hashes >> rest) & mask, 5), np.concatenate([np.zeros(len(batch), np.int64), lengths * 5])),
-                    ],
-                    ["doc_id", "head", "node", "n", "fragment", "tokens"],
-                )
+            for at in range(0, len(whole), 32):
+                texts = whole.column(1).slice(at, 32).to_pylist()
+                words, counts = word_hashes(texts)
+                found, owners = distinct(*shingle_hashes(words, counts, n))
+                digests += whole.column(0).slice(at, 32).to_pylist()
+                hashes.append(found)
+                sizes.append(np.bincount(owners, minlength=len(texts)).astype(np.int64))
+                size += sum(len(t) for t in texts)
+                if size >= BLOCK_TEXT or len(digests) >= BLOCK_ROWS:
+                    yield flush(made, digests, hashes, sizes)
+                    made, size, digests, hashes, sizes = made + 1, 0, [], [], []
+        if digests:
+            yield flush(made, digests, hashes, sizes)
 
     return make
 
 
-SEGMENT = "doc_id long, head boolean, node long, n int, fragment int, tokens binary"
-
-
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one fragment: the heads, and each node's n-grams that another node has too, with their frequency class in front."""
+    """Of one fragment: the head rows, and each block's n-grams that another text has too, with their frequency class in front."""
     is_head = table["head"].to_numpy(zero_copy_only=False)
-    heads = table.filter(pa.array(is_head))
-    rest = table.filter(pa.array(~is_head)).combine_chunks()
+    heads, rest = table.filter(pa.array(is_head)), table.filter(pa.array(~is_head))
     if not len(rest):
         return heads
-    nodes = rest["node"].to_numpy()
-    _, first = np.unique(nodes, return_index=True)
-    rest = rest.take(pa.array(np.sort(first)))
-    data, lengths = bytes_of(rest["tokens"])
-    tokens = unpacked(data, 5)
-    order = np.argsort(tokens)
-    ranked = tokens[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    counts = np.diff(np.append(np.flatnonzero(new), len(tokens)))
-    frequency = np.empty(len(tokens), np.int64)
+    sizes = rest["k"].to_pylist()
+    keys = np.concatenate([np.cumsum(restored(x, k, "<u8"), dtype=np.uint64) for x, k in zip(rest["keys"].to_pylist(), sizes)])
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    counts = np.diff(np.append(np.flatnonzero(new), len(keys)))
+    frequency = np.empty(len(keys), np.int64)
     frequency[order] = np.repeat(counts, counts)
-    keep = frequency > 1
-    owner = np.repeat(np.arange(len(rest)), lengths // 5)[keep]
-    kept = np.bincount(owner, minlength=len(rest))
-    fragment = np.uint64(rest["fragment"][0].as_py())
-    level = np.minimum(63, np.floor(2 * np.log2(frequency[keep]))).astype(np.uint64)
-    keys = (level << np.uint64(58)) | (fragment << np.uint64(TOKEN_BITS)) | tokens[keep]
-    some = kept > 0
-    rest = rest.filter(pa.array(some))
-    rest = rest.set_column(rest.schema.get_field_index("tokens"), "tokens", binary_column(keys.view(np.uint8), kept[some] * 8))
-    return pa.concat_tables([heads, rest])
+    del order, ranked, new
+    ends = np.cumsum(sizes)
+    out = []
+    for block, end, k, owners in zip(rest["block"].to_pylist(), ends.tolist(), sizes, rest["owners"].to_pylist()):
+        keep = frequency[end - k : end] > 1
+        if not keep.any():
+            continue
+        level = np.minimum(2**LEVEL_BITS - 1, np.floor(2 * np.log2(frequency[end - k : end][keep]))).astype(np.uint64)
+        found = (level << np.uint64(64 - LEVEL_BITS)) | (keys[end - k : end][keep] >> np.uint64(LEVEL_BITS))
+        out.append((block, False, 0, int(keep.sum()), found.tobytes(), squeezed(restored(owners, k)[keep]), None))
+    columns = list(zip(*out)) or [()] * 7
+    made = pa.table([pa.array(c, f.type) for c, f in zip(columns, table.schema)], table.schema.names)
+    return pa.concat_tables([heads.cast(made.schema), made])
+
+
+CANDIDATE = "block long, node long, n int, tokens binary"
 
 
 def _candidates(percent: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in complete_groups(batches, "node"):
-            nodes, sizes = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-            data, lengths = bytes_of(table["tokens"])
-            keys = data.view(np.uint64) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint64)
-            starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
-            shared = np.add.reduceat(lengths // 8, starts)
-            passes = 100 * shared >= percent * sizes[starts]
-            ends = np.cumsum(shared)
-            out = [np.sort(keys[e - s : e]) for s, e in zip(shared[passes], ends[passes])]
-            flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[starts][passes]), pa.array(sizes[starts][passes].astype(np.int32)), binary_column(flat.view(np.uint8), shared[passes] * 8)],
-                ["node", "n", "tokens"],
-            )
+    def make(table: pa.Table) -> pa.Table:
+        """Of one block: its texts' shared n-grams in the global order, where there are enough of them."""
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["head"])
+        rest = [r for r in rows if not r["head"]]
+        nodes, sizes = np.frombuffer(head["keys"], np.int64), np.frombuffer(head["owners"], "<u4").astype(np.int64)
+        keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in rest]])
+        owners = np.concatenate([np.zeros(0, np.uint32), *[restored(r["owners"], r["k"]) for r in rest]]).astype(np.int64)
+        shared = np.bincount(owners, minlength=len(nodes))
+        _, first = np.unique(nodes, return_index=True)  # a block's texts with one set
+        passes = (shared > 0) & (100 * shared >= percent * sizes) & np.isin(np.arange(len(nodes)), first)
+        keep = passes[owners]
+        keys, owners = keys[keep], owners[keep]
+        flat = keys[np.lexsort((keys, owners))]
+        tokens = binary_column(flat.view(np.uint8), shared[passes] * 8)
+        return pa.table([np.full(int(passes.sum()), head["block"]), nodes[passes], sizes[passes].astype(np.int32), tokens], [x.split()[0] for x in CANDIDATE.split(", ")])
 
     return make
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Head rows as a row per text."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            digests = [row["digests"][at : at + 32] for at in range(0, len(row["digests"]), 32)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["owners"], "<u4").astype(np.int32)], ["digest", "node", "n"])
+
+
 def _postings(percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +183,12 @@ def _postings(percent: int):
 
 
 def _split(bits: int):
-    """Each node's n-grams by fragment of the hash."""
+    """Each node's n-grams by fragment of the global order, which is dealt out by hash: rows of bucket, node, tokens with the fragment."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            data, lengths = bytes_of(batch.column(1))
+            buckets, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, lengths = bytes_of(batch.column(2))
             keys = np.frombuffer(data.tobytes(), np.uint64)
             owner = np.repeat(np.arange(len(batch)), lengths // 8)
             fragment = (mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
@@ -171,17 +198,18 @@ def _split(bits: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(fragment[starts].astype(np.int32)),
+                    pa.array(buckets[owner[starts]]),
                     pa.array(nodes[owner[starts]]),
                     binary_column(keys.view(np.uint8), np.diff(np.append(starts, len(keys))) * 8),
                 ],
-                ["fragment", "node", "tokens"],
+                ["fragment", "bucket", "node", "tokens"],
             )
 
     return make
 
 
 def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The partial overlap of each pair in one fragment."""
+    """The partial overlap of each pair of one bucket in one fragment."""
     data, lengths = bytes_of(segments["tokens"])
     keys = np.frombuffer(data.tobytes(), np.uint64)
     ends = np.cumsum(lengths // 8)
@@ -200,25 +228,38 @@ def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
 class NearSets:
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 75):
         self.percent, self.spark = percent, docs.sparkSession
-        small_batches(self.spark)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, size / FRAGMENT_TEXT))))))
-        self.check_bits = self.bits - 5
-        segments = rows.mapInArrow(_segments(self.bits, n), SEGMENT)
+        text = text_of()
+        light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("bytes"))
+        light = written(light, "near-rows")
+        size, rows = light.agg(F.sum("bytes"), F.count(F.lit(1))).first()
+        bits = min(MAX_BITS, max(0, int(np.ceil(np.log2(max(1, (size or 0) / FRAGMENT_TEXT))))))
+        # One row of each text, by doc_id; of repeated rows one.
+        per = light.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+        top = per.groupBy("digest").agg(F.max(F.struct("doc_id")).alias("top"), F.count(F.lit(1)).alias("ids"))
+        more = written(per.join(top.hint("merge"), "digest").where("ids > 1 or k > 1").select("digest", "doc_id", F.struct("doc_id").eqNullSafe(F.col("top")).alias("stays"), (F.col("k") > 1).alias("once")), "near-copies")
+        lone = per.join(more.select("digest", "doc_id").hint("merge"), (per["digest"] == more["digest"]) & per["doc_id"].eqNullSafe(more["doc_id"]), "left_anti").select("digest", "doc_id", F.lit(True).alias("stays"), F.lit(False).alias("once"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+        texts = staying(texts, [F.col("digest"), F.col("doc_id")], lone.unionByName(more.withColumn("once", F.col("once") & F.col("stays"))))
+        segments = texts.select("digest", "text").mapInArrow(_segments(bits, n), SEGMENT)
         shared = written(segments.groupBy("fragment").applyInArrow(_shared, SEGMENT), "near-shared")
-        self.members = shared.where("head").select("doc_id", "node", "n")
-        parts = shared.where("not head").select("node", "n", "tokens")
-        parts = parts.repartition("node").sortWithinPartitions("node")
-        self.candidates = written(parts.mapInArrow(_candidates(percent), "node long, n int, tokens binary"), "near-candidates")
+        heads = shared.where("head").mapInArrow(_members, "digest binary, node long, n int")
+        self.members = hot_join(light.select("doc_id", "digest"), heads, "digest", rows).select("doc_id", "node", "n")
+        found = written(shared.groupBy("block").applyInArrow(_candidates(percent), CANDIDATE), "near-candidates")
+        # Texts of different blocks with one set are one node.
+        again = found.groupBy("node").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        verdicts = found.select("node", "block").join(again.hint("merge"), "node", "left").select("node", "block", (F.col("first").isNull() | (F.col("block") == F.col("first"))).alias("stays"))
+        self.candidates = staying(found, [F.col("node"), F.col("block")], verdicts).select("node", "n", "tokens")
+        self.token_bytes = found.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, na, b, nb) those that are linked. Every fragment counts partial overlaps."""
-        busy = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        nodes = self.candidates.select("node", "tokens").join(busy, "node", "left_semi")
-        segments = nodes.mapInArrow(_split(self.check_bits), "fragment int, node long, tokens binary")
-        dealt = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(2**self.check_bits - 1)))).select("fragment", "a", "na", "b", "nb")
-        parts = segments.groupBy("fragment").cogroup(dealt.groupBy("fragment"))
+        buckets = max(1, -(-2 * self.token_bytes // (BUCKET_BYTES << CHECK_BITS)))
+        pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int"))
+        busy = pairs.select("bucket", F.col("a").alias("node")).union(pairs.select("bucket", "b")).distinct()
+        nodes = self.candidates.select("node", "tokens").join(busy.hint("merge"), "node").select("bucket", "node", "tokens")
+        segments = nodes.mapInArrow(_split(CHECK_BITS), "fragment int, bucket int, node long, tokens binary")
+        dealt = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(2**CHECK_BITS - 1)))).select("fragment", "bucket", "a", "na", "b", "nb")
+        parts = segments.groupBy("fragment", "bucket").cogroup(dealt.groupBy("fragment", "bucket"))
         parts = parts.applyInArrow(_overlaps, "a long, b long, na int, nb int, part int")
         whole = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
         return whole.where(100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import small_batches
+from folioforge.llm.arrowtools import restored, small_batches, squeezed
 from folioforge.llm.common import written
 from folioforge.llm.wordhash import mixed, word_hashes
 
@@ -62,7 +62,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([task << 32 | made]),
                 pa.array([doc_ids], pa.list_(pa.int64())),
                 *[pa.array([x.tobytes()], pa.binary()) for x in (good.astype(np.int8), draws.astype(np.uint32), n.astype(np.uint32), names)],
-                pa.array([_squeezed(words)], pa.binary()),
+                pa.array([squeezed(words)], pa.binary()),
                 *[pa.array([x]) for x in numbers],
             ],
             [x.split()[0] for x in BLOCK.split(", ")],
@@ -92,7 +92,7 @@ class _Documents:
         self.roles = np.where((good == 1) & (draws < limits[0]), TARGET, np.where((good == -1) & (draws < limits[1]), BACKGROUND, NEITHER))
         self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int64), self.lengths)
         self.names = np.append(np.frombuffer(row["names"], np.uint64), START)
-        self.after = _restored(row["words"], int(self.lengths.sum()))
+        self.after = restored(row["words"], int(self.lengths.sum()))
         self.before = np.empty_like(self.after)
         self.before[1:] = self.after[:-1]
         self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = len(self.names) - 1
@@ -120,19 +120,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _squeezed(values: np.ndarray, kind: str = "<u4") -> bytes:
-    """Whole numbers by byte planes, compressed."""
-    kind = np.dtype(kind)
-    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _restored(data: bytes, k: int, kind: str = "<u4") -> np.ndarray:
-    kind = np.dtype(kind)
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=kind.itemsize * k, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, k).T).view(kind).reshape(-1)
-
-
 ASKED = "block long, fragment int, k int, keys binary, target binary, background binary"
 COUNTED = "block long, fragment int, k int, target binary, background binary, kinds long, target_words long, background_words long"
 
@@ -156,8 +143,8 @@ def _asked(bits: int, limits: tuple[float, float]):
                     pa.array(np.full(len(spans), row["block"], np.int64)),
                     pa.array(fragments[starts]),
                     pa.array([e - s for s, e in spans], pa.int32()),
-                    pa.array([_squeezed(np.diff(keys[s:e], prepend=np.uint64(0)), "<u8") for s, e in spans], pa.binary()),
-                    *[pa.array([_squeezed(c[s:e]) for s, e in spans], pa.binary()) for c in counts],
+                    pa.array([squeezed(np.diff(keys[s:e], prepend=np.uint64(0)), "<u8") for s, e in spans], pa.binary()),
+                    *[pa.array([squeezed(c[s:e]) for s, e in spans], pa.binary()) for c in counts],
                 ],
                 [x.split()[0] for x in ASKED.split(", ")],
             )
@@ -168,18 +155,18 @@ def _asked(bits: int, limits: tuple[float, float]):
 def _counted(table: pa.Table) -> pa.Table:
     """Of one fragment: each block's keys again, now with the counts of all blocks; and how many words the fragment has and counts."""
     sizes = table["k"].to_pylist()
-    keys = np.concatenate([np.cumsum(_restored(x, k, "<u8"), dtype=np.uint64) for x, k in zip(table["keys"].to_pylist(), sizes)])
+    keys = np.concatenate([np.cumsum(restored(x, k, "<u8"), dtype=np.uint64) for x, k in zip(table["keys"].to_pylist(), sizes)])
     kinds, place = np.unique(keys, return_inverse=True)
     del keys
     is_word = (kinds & np.uint64(1)).astype(bool)
     ends = np.cumsum(sizes)
     out, totals = [], [int(is_word.sum())]
     for name in ("target", "background"):
-        parts = np.concatenate([_restored(x, k) for x, k in zip(table[name].to_pylist(), sizes)])
+        parts = np.concatenate([restored(x, k) for x, k in zip(table[name].to_pylist(), sizes)])
         whole = np.bincount(place, parts, minlength=len(kinds))
         totals.append(int(whole[is_word].sum()))
         whole = whole[place]
-        out.append(pa.array([_squeezed(whole[e - k : e]) for e, k in zip(ends.tolist(), sizes)], pa.binary()))
+        out.append(pa.array([squeezed(whole[e - k : e]) for e, k in zip(ends.tolist(), sizes)], pa.binary()))
     totals = [pa.array(np.full(len(sizes), x, np.int64)) for x in totals]
     return pa.table([table["block"], table["fragment"], table["k"], *out, *totals], [x.split()[0] for x in COUNTED.split(", ")])
 
@@ -212,7 +199,7 @@ def _scored(limits: tuple[float, float], vocabulary: int, totals: dict[int, int]
             role = docs.roles[docs.owner]
             losses = []
             for r, name in ((TARGET, "target"), (BACKGROUND, "background")):
-                counts = np.concatenate([np.zeros(0, np.uint32), *[_restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]]).astype(np.int64)
+                counts = np.concatenate([np.zeros(0, np.uint32), *[restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]]).astype(np.int64)
                 inside = role == r
                 word = counts[word_place] - inside * own_word + 1.0
                 word /= totals[r] + vocabulary
