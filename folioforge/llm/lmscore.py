@@ -10,7 +10,9 @@ of its words. A model document's own counts of bigrams, words and predecessors a
 
 Defined cases: a null text or one without words has 0 words, losses of 0 and score 0; a null doc_id has no label; repeated rows are scored
 each and count each; labels of one doc_id are averaged (good from 0.5 on); without labelled rows both models are uniform and scores
-are 0; an empty table gives an empty result; other columns are not read. Losses are rounded to 6 places.
+are 0; very long texts are hashed whole; an empty table gives an empty result; other columns are not read. Losses are rounded to 6 places.
+A document that occurs twice in the background has its own counts taken out once, so that its copy still vouches for it; copies are
+scored like any other text and are not told apart from frequent language.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import restored, small_batches, squeezed
+from folioforge.llm.arrowtools import restored, squeezed
 from folioforge.llm.common import written
 from folioforge.llm.wordhash import mixed, word_hashes
 
@@ -32,9 +34,8 @@ LEAST_WORDS = 65_535
 MAX_WORDS = LEAST_WORDS  # the name that tests use
 #: Words per block, at the end of the row that reaches them: a task holds some arrays of that many numbers.
 BLOCK_WORDS = 2_000_000
-#: Words per fragment, and the fewest fragments (a power of two); fewer distinct keys reach a fragment.
+#: Words per fragment; fewer distinct keys reach it. The number of fragments (a power of two) follows the words.
 FRAGMENT_WORDS = 3_000_000
-MIN_BITS = 7
 #: Draws that thin the larger side are whole numbers under this.
 DRAWS = 1 << 30
 #: Weight of the bigram model against the word model.
@@ -133,7 +134,7 @@ def _asked(bits: int, limits: tuple[float, float]):
             keys, *places = docs.keys()
             if not len(keys):
                 continue
-            fragments = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            fragments = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
             roles = docs.roles[docs.owner]
             counts = [sum(np.bincount(place[roles == r], minlength=len(keys)) for place in places) for r in (TARGET, BACKGROUND)]
             starts = np.flatnonzero(np.append(True, fragments[1:] != fragments[:-1]))
@@ -216,7 +217,6 @@ def _scored(limits: tuple[float, float], vocabulary: int, totals: dict[int, int]
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (nats per word), score: their difference, lower is more like the target."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     # Labels grow with the documents: the same shuffled join at every size, where AQE can split a hot doc_id.
@@ -227,8 +227,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target, other, total = (int(x or 0) for x in sums)
     least = min(target, other)
     limits = (least / target * DRAWS if target else 0.0, least / other * DRAWS if other else 0.0)
-    small_batches(spark, 4)  # a row is a block from here on
-    bits = min(20, max(MIN_BITS, int(np.ceil(np.log2(max(1, total / FRAGMENT_WORDS))))))
+    bits = min(20, int(np.ceil(np.log2(max(1, total / FRAGMENT_WORDS)))))
     asked = blocks.mapInArrow(_asked(bits, limits), ASKED)
     answers = written(asked.groupBy("fragment").applyInArrow(_counted, COUNTED), "lm-counts")
     sums = answers.groupBy("fragment").agg(*[F.first(c).alias(c) for c in ("kinds", "target_words", "background_words")])

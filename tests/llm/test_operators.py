@@ -239,12 +239,13 @@ def test_lm_scores_equal_brute_force(spark, docs):
     for doc_id, words in texts:
         losses = []
         for picked, one, head, two in models:
-            own = Counter(zip(["", *words[:-1]], words)) if (doc_id, words) in picked else Counter()
+            inside = (doc_id, words) in picked
+            own, own_one, own_head = (Counter(x) if inside else Counter() for x in (zip(["", *words[:-1]], words), words, ["", *words[:-1]] if words else []))
             total, loss = sum(one.values()), 0.0
             for a, b in zip(["", *words[:-1]], words):
                 mine = own[(a, b)]
-                word = (max(one[b] - mine, 0) + 1) / (total + lmscore.MAX_WORDS + 1)
-                left = max(head[a] - mine, 0)
+                word = (one[b] - own_one[b] + 1) / (total + lmscore.MAX_WORDS + 1)
+                left = head[a] - own_head[a]
                 loss -= math.log(lmscore.BIGRAM * ((two[(a, b)] - mine) / left if left else word) + (1 - lmscore.BIGRAM) * word)
             losses.append(round(loss / max(1, len(words)), 5))
         want.append((-1 if doc_id is None else doc_id, len(words), *losses))
