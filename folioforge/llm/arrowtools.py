@@ -4,12 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Python workers get this many rows at once at most, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def squeezed(values: np.ndarray, kind: str = "<u4") -> bytes:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import binary_column, bytes_of, ranges, small_batches
+from folioforge.llm.arrowtools import binary_column, bytes_of, ranges
 from folioforge.llm.wordhash import mixed
 
 #: Words that a worker remembers before it starts afresh.
@@ -35,6 +35,8 @@ class RankTable:
     """Ranks of adjacent pieces in an open-addressing table, and the pieces of the ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= 1 << 20:
+            raise ValueError("ranks from 2^20 on do not fit a pair's key")
         pairs = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -177,6 +179,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Spark bounds a batch by its bytes; this bounds the arrays that are made of one."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 _TABLES: dict = {}
 
 
@@ -191,14 +200,13 @@ def _table(shared) -> RankTable:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids: unsigned 32-bit little-endian numbers one after another."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary file
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, split = _table(shared), regex.compile(pattern).findall
         words, flat = _Words(), np.zeros(0, np.int32)
         starts = sizes = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [split(text) if text else [] for text in batch.column(1).to_pylist()]
             per_text = np.fromiter(map(len, found), np.int64, len(found))
             if len(words) > KEPT:
@@ -224,7 +232,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
-        for batch in batches:
+        for batch in _sliced(batches):
             data, lengths = bytes_of(batch.column(2))
             ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
             sizes = table.lengths[ids]

@@ -1,23 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are at most MAX_EXAMPLES labelled rows, those with the smallest hashes; the rows with crc32(doc_id) mod FOLDS = 0 are never
-among them. Terms are whole words and the first PREFIXES letters of words, lower-cased; the MAX_TERMS terms that set the toxic
-examples apart most (chi-square at least MIN_CHI2) span the vectors. Document frequencies are counted over all documents.
+among them. Terms are whole words, lower-cased. All words whose share among the toxic examples differs upward by a chi-square
+of MIN_CHI2 or more span the vectors; their number is not capped, and is bounded by the words of the examples. Document frequencies are
+counted over all documents.
 
 Per term the index keeps the examples' weights in blocks with each block's largest. A query takes blocks in order of
 their bounds and stops when no bound reaches its k-th best cosine, so that its k nearest are exact. Their votes are weighted by
 the cosine, and a logistic curve fitted to the examples' own leave-one-out votes makes scores of them. A text without any
-of the terms gets the rate of toxic examples among those without.
+of the terms gets the rate of toxic examples among those without. A text that is itself an example has no vote in its own score, nor
+have its copies among the examples, so that a score depends on the text and on what other texts are labelled.
 
 Defined cases: a null or empty text has no terms; a null label is no label and repeated labels of a doc_id are averaged (toxic
 from 0.5 on); a null doc_id has no label and is held out if crc32('') mod FOLDS = 0, which it is; without toxic examples every
-score is 0; equal cosines go by the example's doc_id; an empty table gives an empty result; other columns are not read.
+score is 0; equal cosines go by the example's doc_id; very long texts are counted whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +28,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import small_batches
 from folioforge.llm.common import text_of, written
 from folioforge.llm.rowfilter import staying
 
 MAX_EXAMPLES = 8192
-MAX_TERMS = 512
-PREFIXES = (4, 5)
 MIN_CHI2 = 25.0
 FOLDS = 5
 NEIGHBOURS = 15
 BLOCK = 64
 LETTERS = r"\p{L}+"
-#: Words whose terms a worker remembers before it starts afresh.
+#: Scores that a worker remembers before it starts afresh.
 KEPT = 300_000
 
 
@@ -45,10 +45,6 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def _terms_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
-
-
 def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic of the rows to learn from: at most MAX_EXAMPLES."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -57,11 +53,10 @@ def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def select_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
-    """The terms that set toxic examples apart, at most MAX_TERMS."""
+    """The terms that set toxic examples apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("text")).join(F.broadcast(examples), "doc_id")
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)))
-    prefixes = [F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
-    terms = texts.select("toxic", F.explode(F.array_distinct(F.concat(words, *prefixes))).alias("term"))
+    terms = texts.select("toxic", F.explode(words).alias("term"))
     counts = terms.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     total = examples.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, n = float(total[0] or 0), float(total[1])
@@ -70,7 +65,7 @@ def select_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
     a, b = F.col("a"), F.col("b")
     ratio = (a * (n - toxic - b) - b * (toxic - a)) ** 2 * n / (toxic * (n - toxic) * (a + b) * F.greatest(F.lit(0.5), n - a - b))
     best = counts.where((a + b >= 4) & (a / toxic > b / (n - toxic))).withColumn("chi2", ratio).where(F.col("chi2") >= MIN_CHI2)
-    return [r["term"] for r in best.orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS).collect()]
+    return [r["term"] for r in best.orderBy("term").collect()]  # some words of the examples
 
 
 def row_of() -> Column:
@@ -80,24 +75,14 @@ def row_of() -> Column:
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, row (see row_of), terms (numbers in `terms`), counts: of the whole texts."""
-    small_batches(docs.sparkSession)
     numbers = {t: i for i, t in enumerate(terms)}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(LETTERS).findall
-        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             out_terms, out_counts = [], []
-            if len(known) > KEPT:
-                known.clear()
             for text in batch.column(2).to_pylist():
-                found: Counter = Counter()
-                for word in split(text.lower()) if text and numbers else ():
-                    hit = known.get(word)
-                    if hit is None:
-                        hit = known[word] = tuple(numbers[t] for t in _terms_of(word) if t in numbers)
-                    if hit:
-                        found.update(hit)
+                found = Counter(numbers[word] for word in split(text.lower()) if word in numbers) if text and numbers else Counter()
                 order = sorted(found)
                 out_terms.append(order)
                 out_counts.append([found[t] for t in order])
@@ -110,10 +95,13 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 class BlockMaxIndex:
     """Term by term the examples' weights, in blocks, and the largest weight of each block."""
 
-    def __init__(self, ids: list[int], toxic: list[int], vectors: list[dict[int, float]], idf: np.ndarray):
+    def __init__(self, ids: list[int], toxic: list[int], vectors: list[dict[int, float]], idf: np.ndarray, rows: list[bytes] | None = None):
         order = sorted(range(len(ids)), key=lambda i: (min(vectors[i]), ids[i]))  # alike examples in one block
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
+        self.places: dict[bytes, list[int]] = {}
+        for place, i in enumerate(order):
+            self.places.setdefault(rows[i] if rows else str(ids[i]).encode(), []).append(place)
         self.idf, n = idf, len(order)
         self.blocks = -(-n // BLOCK) if n else 0
         self.weights = np.zeros((len(idf), self.blocks * BLOCK))
@@ -128,8 +116,8 @@ class BlockMaxIndex:
         norm = np.sqrt(sum(w * w for w in weights.values()))
         return {t: w / norm for t, w in weights.items()}
 
-    def nearest(self, counts: dict[int, float], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, nearest first."""
+    def nearest(self, counts: dict[int, float], k: int, without: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples but those at some places, nearest first."""
         query = self.unit(counts)
         terms = np.fromiter(query, np.int64, len(query))
         q = np.fromiter(query.values(), np.float64, len(query))
@@ -143,8 +131,8 @@ class BlockMaxIndex:
             rows = (step[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             scores = q @ self.weights[np.ix_(terms, rows)]
             keep = scores > 0
-            if without is not None:
-                keep &= rows != without
+            if len(without):
+                keep &= ~np.isin(rows, without)
             places, cosines = np.concatenate([places, rows[keep]]), np.concatenate([cosines, scores[keep]])
             best = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
             places, cosines = places[best], cosines[best]
@@ -156,14 +144,13 @@ class BlockMaxIndex:
         """Share of toxic among the neighbours by cosine; the prior counts as half a neighbour."""
         return float((cosines @ self.toxic[places] + 0.5 * prior) / (cosines.sum() + 0.5))
 
-    def calibrate(self, vectors: list[dict[int, float]], prior: float) -> None:
-        """A logistic curve over the logit of the leave-one-out votes."""
-        place_of = {int(d): i for i, d in enumerate(self.ids)}
+    def calibrate(self, vectors: list[tuple[bytes, dict[int, float]]], prior: float) -> None:
+        """A logistic curve over the logit of the votes that each example's text gets from the others."""
         x, y = [], []
-        for doc, counts in vectors:
-            place = place_of[doc]
-            x.append(_logit(self.vote(*self.nearest(counts, NEIGHBOURS, place), prior)))
-            y.append(self.toxic[place])
+        for row, counts in vectors:
+            own = self.places[row]
+            x.append(_logit(self.vote(*self.nearest(counts, NEIGHBOURS, own), prior)))
+            y.append(self.toxic[own].mean())
         x, y = np.array(x), np.array(y)
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps with a weak pull to (1, 0)
@@ -201,17 +188,17 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     idf = np.ones(len(terms))
     for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term
         idf[r["t"]] = np.log((1 + n) / (1 + r["count"])) + 1
-    known = rows.join(F.broadcast(examples), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("terms", "counts")).alias("v")).orderBy("doc_id").collect()
-    vectors = [(r["doc_id"], dict(zip(r["v"]["terms"], r["v"]["counts"]))) for r in known]
+    known = rows.join(F.broadcast(examples), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("terms", "counts", "row")).alias("v")).orderBy("doc_id").collect()  # MAX_EXAMPLES rows at most
+    vectors = [(bytes(r["v"]["row"]), dict(zip(r["v"]["terms"], r["v"]["counts"]))) for r in known]
     seen = [i for i, (_, v) in enumerate(vectors) if v]
     toxic = [r["toxic"] for r in known]
     plain = [toxic[i] for i, (_, v) in enumerate(vectors) if not v]
     prior = sum(toxic) / len(toxic) if toxic else 0.0
     bare = (sum(plain) + prior) / (len(plain) + 1)
-    index = BlockMaxIndex([vectors[i][0] for i in seen], [toxic[i] for i in seen], [vectors[i][1] for i in seen], idf)
+    index = BlockMaxIndex([known[i]["doc_id"] for i in seen], [toxic[i] for i in seen], [vectors[i][1] for i in seen], idf, [vectors[i][0] for i in seen])
     if seen:
         index.calibrate([vectors[i] for i in seen], prior)
-    shared = spark.sparkContext.broadcast(index)  # MAX_TERMS by MAX_EXAMPLES weights at most
+    shared = spark.sparkContext.broadcast(index)  # the terms by MAX_EXAMPLES weights at most
     schema = "doc_id long, row binary, score double, neighbour_ids array<long>, cosines array<double>, neighbour_toxic array<int>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +207,11 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores, ids, cosines, votes = [], [], [], []
             if len(done) > KEPT:
                 done.clear()
-            for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = (tuple(t), tuple(c))
+            for row, t, c in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
+                own = index.places.get(row, ())
+                key = (tuple(t), tuple(c), row if own else None)
                 if key not in done:
-                    places, cos = index.nearest(dict(zip(t, c)), NEIGHBOURS) if t and index.blocks else (np.zeros(0, np.int64), np.zeros(0))
+                    places, cos = index.nearest(dict(zip(t, c)), NEIGHBOURS, own) if t and index.blocks else (np.zeros(0, np.int64), np.zeros(0))
                     value = index.score(index.vote(places, cos, prior)) if len(places) else bare
                     done[key] = (round(value, 9), index.ids[places].tolist(), np.round(cos, 9).tolist(), index.toxic[places].astype(int).tolist())
                 for out, value in zip((scores, ids, cosines, votes), done[key]):

@@ -203,6 +203,49 @@ def test_nearest_examples_are_exact(spark):
         assert np.allclose(found, [c for c, _ in cosines[:10]], atol=1e-8)
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Terms, frequencies, cosines, neighbours and votes over a small table; the score is one logistic curve of the vote."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}x" for a in "abcdefg" for b in "hijkl"]
+    toxic = {i: int(rng.random() < 0.4) for i in range(160)}
+    pick = lambda i: [*rng.choice(words, 6), *(rng.choice(["vile", "foul", "slur", "bane"], 2) if toxic.get(i, i % 2) and rng.random() < 0.9 else [])]
+    texts = {i: " ".join(pick(i)) for i in range(200)} | {200: "", 201: "a1 b2"}
+    texts[7] = texts[6]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id long, toxic int")
+    known = {i: t for i, t in toxic.items() if zlib.crc32(str(i).encode()) % 5}
+    counts = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    n, bad = len(known), sum(known.values())
+    terms = []
+    for w in sorted({w for i in known for w in counts[i]}):
+        a = sum(known[i] for i in known if w in counts[i])
+        b = sum(1 - known[i] for i in known if w in counts[i])
+        chi2 = (a * (n - bad - b) - b * (bad - a)) ** 2 * n / (bad * (n - bad) * (a + b) * max(0.5, n - a - b))
+        if a + b >= 4 and a / bad > b / (n - bad) and chi2 >= toxicity.MIN_CHI2:
+            terms.append(w)
+    assert len(terms) >= 2
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in c for c in counts.values()))) + 1 for w in terms}
+
+    def unit(i):
+        v = {w: (1 + math.log(counts[i][w])) * idf[w] for w in terms if w in counts[i]}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    points = []
+    for i in texts:
+        found = [(round(sum(x * unit(j).get(w, 0) for w, x in unit(i).items()), 12), j) for j in known if texts[j] != texts[i]]
+        found = sorted((x for x in found if x[0] > 0), key=lambda x: (-x[0], x[1]))[: toxicity.NEIGHBOURS]
+        assert got[i].neighbour_ids == [j for _, j in found] and np.allclose(got[i].cosines, [c for c, _ in found], atol=1e-8)
+        assert got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if found:
+            vote = (sum(c * known[j] for c, j in found) + 0.5 * bad / n) / (sum(c for c, _ in found) + 0.5)
+            points.append((math.log(vote / (1 - vote)), math.log(got[i].score / (1 - got[i].score))))
+    (x0, y0), (x1, y1) = min(points), max(points)
+    slope = (y1 - y0) / (x1 - x0)
+    assert slope > 0 and all(abs(y0 + slope * (x - x0) - y) < 1e-4 for x, y in points)
+
+
 def test_toxicity_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{path}/labels.parquet")
