@@ -59,7 +59,7 @@ BARE_COPY_MARKER = r"(?i)(?:转自|手打|校对|整理|录入|扫描|制作)"
 SIGNALS = (
     ("url", rf"(?i)https?://|www\.|[A-Za-z0-9_-]\.(?:com|net|cn|org|cc|top|xyz|vip){WORD_END}"),
     ("email", r"(?i)[A-Za-z0-9._%+\-]@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
-    ("contact", r"(?i)(?:QQ|QQ群|微信|VX|公众号|书友群)[:：]?[A-Za-z0-9_\-]{4,}"),
+    ("contact", r"(?i)(?:QQ|QQ群|微信|VX|wx|公众号|书友群)[:：]?[A-Za-z0-9_\-]{4,}"),
     ("download", r"(?i)(?:txt下载|全本下载|电子书下载|免费下载|下载地址|本书下载)"),
     (
         "watermark",
@@ -84,7 +84,8 @@ INTENTS = (
 VISIT_CUE = r"(?:请|欢迎|建议).{0,6}访问"
 VISIT_BRIDGE = r"(?:以下)?(?:地址|网址|网站|站点|本站)?[:：为是到至\-—]*"
 VISIT_TAIL = r"^[,，:：;；\-—]*(?:获取(?:后续|更新|内容)|查看(?:最新)?章节|阅读(?:全文|最新章节)|更新(?:内容|章节|最快)|下载(?:全文|txt)?|无弹窗)"
-VISIT_FRAME = r"(?:作者(?:荐|推荐)|喜欢小说的|站外(?:更新|阅读|获取|提示))"
+#: A frame and what is between it and the cue have 32 characters at most.
+VISIT_FRAME = r"(?:作者荐.{0,29}|(?:作者推荐|站外(?:更新|阅读|获取|提示)).{0,28}|喜欢小说的.{0,27})"
 TLDS = r"(?:com|net|cn|org|cc|top|xyz|vip)"
 DOMAIN_NAME = rf"[a-z0-9][a-z0-9_-]{{1,62}}\.{TLDS}"
 #: Java only: with look-around, so that neighbouring domains are all found.
@@ -99,6 +100,11 @@ NARRATIVE = (
     r"(?i)[“「『\"'][^”」』\"'\n]{0,320}(?:https?://|www\.|[A-Za-z0-9._%+\-]+@|请访问|联系|下载)[^”」』\"'\n]{0,320}[”」』\"']",
     r"(?:告示|纸条|便签|信(?:里|中)?|日记|记录).{0,16}(?:写着|写道|记着|记载|提到|显示)|(?:读完|看完|念完).{0,32}(?:折好|收进|放进|塞进|合上|递给|藏起|撕掉)",
 )
+NARRATIVE_WATERMARK = r"(?:运转自(?:身|己|如)|回转自(?:身|己)|圆转自如|扭转自己)"
+TERM_STOPWORDS = ("小说", "章节", "正文", "作者", "读者", "系统", "世界", "大陆", "学院")
+NOISY_NAME = r"(?i)(?:https?|www\.|\.com|\.net|\.cn|\.org|\.cc|\.vip|@|下载|全本|txt|epub|soushu|cihetxt|biquge|xbiquge|9xiaoxs)"
+PROTECTED_NAME = r"(?i)(?:改版|修改|改[0-9]*|同人|二创|番外|外传|续写|衍生|魔改)"
+NAME_NOISE = r"(?:小说|txt|epub|精校版|完结版|全本|下载)"
 AUTHOR_PHRASE = r"作者(?:推荐|有话要说)|有话说|有事说|大声说|告诉你|说"
 
 # Number characters and headings, in order: (pattern, label group, number group or 0, rest group).

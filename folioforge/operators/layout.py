@@ -14,6 +14,7 @@ MASK_RUN = r"[\*＊×Xx□■口]{2,}"
 #: Java only: a single mask between CJK characters.
 MASK_ONE = r"(?<=[\x{4e00}-\x{9fff}])[\*＊×Xx□■口](?=[\x{4e00}-\x{9fff}])"
 SEPARATOR = r"[\x{4e00}-\x{9fff}][·•・.．]{1,2}[\x{4e00}-\x{9fff}]"
+PROTECTED = r"`[^`\n]*`|https?://[^\s]+|www\.[^\s]+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}|[A-Za-z]:\\[^\s]+"
 PUNCTUATION = {",": "，", ".": "。", "?": "？", "!": "！", ":": "：", ";": "；"}
 
 
@@ -58,7 +59,7 @@ def mask_counts(lines: DataFrame) -> DataFrame:
 def safe_punctuation(c: Column) -> Column:
     """Full-width marks after a CJK character and before an end, a space, a CJK character or a closing quote."""
     for half, full in PUNCTUATION.items():
-        c = F.regexp_replace(c, rf"(?<=[\x{{4e00}}-\x{{9fff}}])[{half}](?=$|[\s\x{{4e00}}-\x{{9fff}}\"'”’」』）】》])", full)
+        c = F.regexp_replace(c, rf"(?<=[{R.CJK}])[{half}](?=\z|[{R.WS[1:-1]}{R.CJK}\"'”’」』）】》])", full)
     return c
 
 
@@ -71,14 +72,29 @@ def collapse_blank(lines: DataFrame, most: int = 1) -> DataFrame:
     return rows.withColumn("nth", nth).where(~F.col("blank") | (F.col("nth") <= most)).select("book_id", "line_no", F.when(F.col("blank"), "").otherwise(F.col("raw")).alias("raw"))
 
 
-def normalize_layout(lines: DataFrame, headings: DataFrame, most: int = 1) -> DataFrame:
-    """book_id, text: trailing space gone, marks made full width, body lines indented by two ideographic spaces, blank runs cut."""
+def squeeze_spaces(c: Column) -> Column:
+    """Runs of spaces and tabs become one space, but in code spans, addresses, mails and drive paths."""
+    tokens = F.regexp_extract_all(c, F.lit(rf"(?is)(?:{PROTECTED})|[ \t]+|."), F.lit(0))
+    joined = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^[ \t]+$"), " ").otherwise(t)), "")
+    return F.when(c.rlike(r"[ \t]{2}|\t"), joined).otherwise(c)
+
+
+def normalize_line(c: Column, is_heading: Column, squeeze: bool = False) -> Column:
+    """Space, tab and ideographic space go at the end, marks become full-width; lines that are no headings begin with two ideographic spaces."""
+    c = F.regexp_replace(c, "[ \t　]+$", "")
+    c = safe_punctuation(squeeze_spaces(c) if squeeze else c)
+    body = (X.strip(c) != "") & ~is_heading
+    return F.when(body, F.concat(F.lit("　　"), F.regexp_replace(c, "^[ \t　]+", ""))).otherwise(c)
+
+
+def normalize_layout(lines: DataFrame, headings: DataFrame, most: int = 1, squeeze: bool = False) -> DataFrame:
+    """book_id, text: every line normalised, then blank runs cut; the text ends with a line end."""
     marks = headings.select("book_id", "line_no", F.lit(True).alias("h"))
-    rows = collapse_blank(lines, most).join(marks, ["book_id", "line_no"], "left")
-    body = X.strip(safe_punctuation(F.col("raw")))
-    raw = F.when((body == "") | F.col("h"), body).otherwise(F.concat(F.lit("　　"), body))
-    listed = F.array_sort(F.collect_list(F.struct("line_no", raw.alias("raw"))))
-    return rows.groupBy("book_id").agg(F.concat(F.array_join(F.transform(listed, lambda x: x["raw"]), "\n"), F.lit("\n")).alias("text"))
+    rows = lines.join(marks, ["book_id", "line_no"], "left")
+    rows = collapse_blank(rows.withColumn("raw", normalize_line(F.col("raw"), F.coalesce("h", F.lit(False)), squeeze)), most)
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
+    whole = F.array_join(F.transform(listed, lambda x: x["raw"]), "\n")
+    return rows.groupBy("book_id").agg(whole.alias("text")).select("book_id", F.when(F.endswith("text", F.lit("\n")), F.col("text")).otherwise(F.concat("text", F.lit("\n"))).alias("text"))
 
 
 def markdown(texts: DataFrame, slices: DataFrame) -> DataFrame:

@@ -121,14 +121,18 @@ def near_groups(found: DataFrame, parts: DataFrame, scope: str = "boundary", rad
     """book_id, start_offset, root of near repetitions of at least three among the blocks not yet taken."""
     rows = found.where(F.length("key").between(*R.NEAR_KEY))
     if scope == "boundary":
-        rows = boundary_distance(rows, parts).where((F.size("signals") > 0) | (F.col("boundary_distance") <= radius))
+        pieces = parts.where("kind = 'fallback_chunk'").select("book_id").distinct().withColumn("__cut", F.lit(True))
+        rows = boundary_distance(rows, parts).join(pieces, "book_id", "left")
+        rows = rows.where(F.col("__cut").isNotNull() | (F.size("signals") > 0) | (F.col("boundary_distance") <= radius)).drop("__cut")
     linked = components(near_pairs(rows))
     big = linked.groupBy("book_id", "root").agg(F.count(F.lit(1)).alias("k")).where("k >= 3").select("book_id", "root")
     return linked.join(big, ["book_id", "root"])
 
 
 def structural(found: DataFrame, parts: DataFrame, radius: int = R.L4_RADIUS) -> DataFrame:
-    """Short signalled blocks near a slice's edge."""
+    """Short signalled blocks near a slice's edge; none in books that are cut into pieces."""
+    pieces = parts.where("kind = 'fallback_chunk'").select("book_id")
+    found = found.join(pieces, "book_id", "left_anti")
     return boundary_distance(found.where((F.size("signals") > 0) & (F.length("stripped") <= R.L4_CHARS)), parts).where(F.col("boundary_distance") <= radius)
 
 

@@ -61,32 +61,39 @@ def mask_counts(spark, sf_dir):
     return layout.mask_counts(book_lines(spark, sf_dir))
 
 
-@register("blank_collapse", "SELECT * FROM (VALUES (1, 1, 'a'), (1, 2, ''), (1, 4, 'b'), (1, 5, ''), (2, 1, ''), (2, 3, 'c')) AS t(book_id, line_no, raw)")
-def blank_collapse(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, 1, 'a'), (1, 2, ' '), (1, 3, ''), (1, 4, 'b'), (1, 5, ''), (2, 1, ''), (2, 2, '　'), (2, 3, 'c') AS t(book_id, line_no, raw)")
-    return layout.collapse_blank(rows)
+def punctuated(c: str) -> str:
+    """SQL of safe_punctuation: RE2 has no look-around, and a mark's next character may be the one before the next mark, hence twice."""
+    for half, full in layout.PUNCTUATION.items():
+        for _ in range(2):
+            c = f"regexp_replace({c}, {q(f'([{R.CJK}])[{half}]($|[{R.WS[1:-1]}{R.CJK}' + chr(34) + chr(39) + '”’」』）】》])')}, {q(chr(92) + '1' + full + chr(92) + '2')}, 'g')"
+    return c
 
 
-@register("safe_punctuation", "SELECT * FROM (VALUES (1, '他说：好。'), (2, 'a, b'), (3, '他,b'), (4, '真的？！'), (5, '价3.5元')) AS t(id, line)")
+@register("safe_punctuation", f"{BASE} SELECT book_id, line_no, {punctuated('raw')} AS line FROM bl")
 def safe_punctuation(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, '他说:好.'), (2, 'a, b'), (3, '他,b'), (4, '真的？！'), (5, '价3.5元') AS t(id, line)")
-    return rows.select("id", layout.safe_punctuation(F.col("line")).alias("line"))
+    return book_lines(spark, sf_dir).select("book_id", "line_no", layout.safe_punctuation(F.col("raw")).alias("line"))
 
 
-@register("blank_collapse_whole")
-def blank_collapse_whole(spark, sf_dir):
-    return layout.collapse_blank(book_lines(spark, sf_dir))
+@register("squeeze_spaces")
+def squeeze_spaces(spark, sf_dir):
+    return book_lines(spark, sf_dir).select("book_id", "line_no", layout.squeeze_spaces(F.col("raw")).alias("line"))
 
 
-@register("safe_punctuation_whole")
-def safe_punctuation_whole(spark, sf_dir):
-    return book_lines(spark, sf_dir).select("book_id", "line_no", layout.safe_punctuation(F.col("raw")).alias("line"))
+def _collapsed(raw: str, source: str) -> str:
+    """SQL of collapse_blank over `source`, as the common table expression cb."""
+    blank = f"regexp_replace({raw}, {q(R.WS + '+')}, '', 'g') = ''"
+    return f"""g0 AS (SELECT book_id, line_no, {raw} AS raw, {blank} AS blank, sum(CASE WHEN {blank} THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY line_no) AS run FROM {source}),
+cb AS (SELECT book_id, line_no, CASE WHEN blank THEN '' ELSE raw END AS raw FROM (SELECT *, row_number() OVER (PARTITION BY book_id, run, blank ORDER BY line_no) AS nth FROM g0) WHERE NOT blank OR nth <= 1)"""
+
+
+@register("blank_collapse", f"{BASE}, {_collapsed('raw', 'bl')} SELECT * FROM cb")
+def blank_collapse(spark, sf_dir):
+    return layout.collapse_blank(book_lines(spark, sf_dir))
 
 
-@register("layout_normalize", f"""{HEADED}, b AS (SELECT bl.*, regexp_replace(bl.raw, {q(f'^{R.WS}+|{R.WS}+$')}, '', 'g') AS s, ch.title IS NOT NULL AS h FROM bl LEFT JOIN ch ON bl.book_id = ch.book_id AND bl.line_no = ch.line_no),
-g AS (SELECT *, sum(CASE WHEN s = '' THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY line_no) AS run FROM b),
-n AS (SELECT *, row_number() OVER (PARTITION BY book_id, run, s = '' ORDER BY line_no) AS nth FROM g)
-SELECT book_id, md5(string_agg(CASE WHEN s = '' OR h THEN s ELSE '　　' || s END, chr(10) ORDER BY line_no) || chr(10)) AS md5 FROM n WHERE s <> '' OR nth <= 1 GROUP BY book_id""")
+@register("layout_normalize", f"""{HEADED}, b AS (SELECT bl.book_id, bl.line_no, {punctuated(f"regexp_replace(bl.raw, '[ {chr(9)}　]+$', '')")} AS s, ch.title IS NOT NULL AS h FROM bl LEFT JOIN ch ON bl.book_id = ch.book_id AND bl.line_no = ch.line_no),
+i AS (SELECT book_id, line_no, CASE WHEN h OR regexp_replace(s, {q(R.WS + '+')}, '', 'g') = '' THEN s ELSE '　　' || regexp_replace(s, '^[ {chr(9)}　]+', '') END AS line FROM b), {_collapsed('line', 'i')}
+SELECT book_id, md5(CASE WHEN ends_with(t, chr(10)) THEN t ELSE t || chr(10) END) AS md5 FROM (SELECT book_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM cb GROUP BY book_id)""")
 def layout_normalize(spark, sf_dir):
     lines = book_lines(spark, sf_dir)
     return layout.normalize_layout(lines, structure.headings(lines)).select("book_id", F.md5("text").alias("md5"))
@@ -147,10 +154,30 @@ def review_coverage(spark, sf_dir, layers=ranked):
     return edits.coverage(candidates, kept.unionByName(kept.where(number % 13 == 0)).unionByName(reviews.where(number == 1).withColumn("candidate_id", F.lit("AD-none"))))
 
 
-@register("review_violations", "SELECT * FROM (VALUES (2, 'verdict'), (3, 'confidence'), (4, 'reason'), (5, 'verdict,confidence,reason')) AS t(id, violations)")
-def review_violations(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'keep', 0.5D, 'r'), (2, 'drop', 0.5D, 'r'), (3, 'keep', 1.5D, 'r'), (4, 'keep', 0D, ' '), (5, null, null, null) AS t(id, verdict, confidence, reason)")
-    return edits.review_violations(rows).select("id", F.array_join("violations", ",").alias("violations"))
+@register("review_violations", f"{DECIDED} SELECT book_id, candidate_id, CASE WHEN rank % 7 = 0 AND rank % 10 = 0 THEN 'verdict,confidence' WHEN rank % 7 = 0 THEN 'verdict' WHEN rank % 10 = 0 THEN 'confidence' ELSE 'reason' END AS violations FROM dc WHERE rank % 7 = 0 OR rank % 10 = 0 OR rank % 17 = 0")
+def review_violations(spark, sf_dir, layers=ranked):
+    """Over the reviews of all candidates, with wrong verdicts, confidences and reasons planted by rank."""
+    _, reviews = reviewed(spark, sf_dir, layers)
+    number = F.substring("candidate_id", 4, 20).cast("int")
+    reviews = reviews.withColumn("verdict", F.when(number % 7 == 0, "drop").otherwise(F.col("verdict"))).withColumn("confidence", F.when(number % 10 == 0, 1.5).otherwise(F.col("confidence")))
+    reviews = reviews.withColumn("reason", F.when((number % 17 == 0) & (number % 7 != 0) & (number % 10 != 0), " ").otherwise(F.col("reason")))
+    return edits.review_violations(reviews).select("book_id", "candidate_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("overlap_check", f"""{DECIDED}, w AS (SELECT book_id, candidate_id, op_start, op_end + 40 AS op_end FROM op)
+SELECT book_id, candidate_id, op_start, reach FROM (SELECT *, max(op_end) OVER (PARTITION BY book_id ORDER BY op_start, op_end, candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w) WHERE op_start < reach""")
+def overlap_check(spark, sf_dir, layers=ranked):
+    """Over all operations, each stretched by 40 characters so that some overlap."""
+    return edits.overlaps(applied(spark, sf_dir, layers)[2].withColumn("op_end", F.col("op_end") + 40))
+
+
+@register("replay_check", f"{DECIDED} SELECT book_id, book_id % 3 <> 0 AS replayed FROM ap")
+def replay_check(spark, sf_dir, layers=ranked):
+    """Against what was written, with one book in three changed after it."""
+    lines, _, operations = applied(spark, sf_dir, layers)
+    texts = structure.texts_of_lines(lines)
+    after = edits.apply_operations(texts, operations)
+    return edits.replay(texts, operations, after.withColumn("text", F.when(F.col("book_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
 
 
 @register("op_build", f"{DECIDED} SELECT book_id, candidate_id, op_start, op_end, original, replacement FROM op")
@@ -158,24 +185,12 @@ def op_build(spark, sf_dir, layers=ranked):
     return applied(spark, sf_dir, layers)[2]
 
 
-@register("overlap_check", "SELECT * FROM (VALUES (1, 'b', 5, 8), (1, 'c', 6, 8)) AS t(book_id, candidate_id, op_start, reach)")
-def overlap_check(spark, sf_dir):
-    return edits.overlaps(spark.sql("SELECT * FROM VALUES (1, 'a', 2, 8), (1, 'b', 5, 6), (1, 'c', 6, 9), (1, 'd', 9, 12), (2, 'e', 0, 3), (2, 'f', 3, 4) AS t(book_id, candidate_id, op_start, op_end)"))
-
-
 @register("apply_splice", f"{DECIDED} SELECT book_id, md5(after) AS md5, length(after) AS n_chars FROM ap")
 def apply_splice(spark, sf_dir, layers=ranked):
     lines, _, operations = applied(spark, sf_dir, layers)
     return edits.apply_operations(structure.texts_of_lines(lines), operations).select("book_id", F.md5("text").alias("md5"), F.length("text").cast("long").alias("n_chars"))
 
 
-@register("replay_check", f"{DECIDED} SELECT book_id, true AS replayed FROM ap")
-def replay_check(spark, sf_dir, layers=ranked):
-    lines, _, operations = applied(spark, sf_dir, layers)
-    texts = structure.texts_of_lines(lines)
-    return edits.replay(texts, operations, edits.apply_operations(texts, operations))
-
-
 @register("op_accounting", f"""{DECIDED}, a AS (SELECT book_id, candidate_id, least(occurrence_count, {R.MAX_ANCHORS}) AS asked FROM dc WHERE verdict = 'delete'),
 d AS (SELECT book_id, candidate_id, count(*) AS done, count(DISTINCT op_start) AS places FROM op GROUP BY ALL)
 SELECT book_id, sum(asked)::BIGINT AS asked, coalesce(sum(done), 0)::BIGINT AS done, sum(greatest(0, asked - coalesce(done, 0)))::BIGINT AS missing, sum(greatest(0, coalesce(done, 0) - asked))::BIGINT AS unexpected, coalesce(sum(done - places), 0)::BIGINT AS double
@@ -207,7 +222,7 @@ def rollback_point(spark, sf_dir, layers=ranked):
     return edits.apply_operations(structure.texts_of_lines(lines), rest).select("book_id", F.md5("text").alias("md5"))
 
 
-@register("chapter_identity", f"""{DECIDED}, gone AS (SELECT DISTINCT ch.book_id, ch.line_no FROM ch JOIN op ON op.book_id = ch.book_id AND op_start < ch.end_offset AND op_end > ch.start_offset)
+@register("chapter_identity", f"""{DECIDED}, gone AS (SELECT DISTINCT ch.book_id, ch.line_no FROM ch JOIN op ON op.book_id = ch.book_id AND op_start < ch.title_end AND op_end > ch.title_start)
 SELECT book_id, count(*) AS chapters, (count(*) - (SELECT count(*) FROM gone WHERE gone.book_id = ch.book_id))::BIGINT AS kept FROM ch GROUP BY book_id""")
 def chapter_identity(spark, sf_dir, layers=ranked):
     lines, _, operations = applied(spark, sf_dir, layers)

@@ -68,14 +68,17 @@ HEAD_CTE = f"""
 h0 AS (SELECT *, {_HEAD(lambda p, a, b, c: f"regexp_replace(regexp_extract(raw, {q(p)}, {a}), {q(WS + '+')}, '', 'g')")} AS label,
   {_HEAD(lambda p, a, b, c: f"regexp_extract(raw, {q(p)}, {b})" if b else 'NULL')} AS num,
   {_HEAD(lambda p, a, b, c: f"regexp_replace(regexp_extract(raw, {q(p)}, {c}), {q(f'^{WS}+|{WS}+$')}, '', 'g')")} AS rest
-  FROM st WHERE length(raw) <= 400 AND {_TRAP}),
+  FROM st WHERE {_TRAP}),
 hd AS (SELECT *, {CN_SQL} AS number FROM h0 WHERE label IS NOT NULL AND length(rest) <= {R.HEADING_REST} AND NOT regexp_matches(rest, {q(R.SENTENCE_MARK)})),
 sz AS (SELECT book_id, max(start + length(raw))::BIGINT AS text_length FROM bl GROUP BY book_id),
-ch AS (SELECT hd.book_id, line_no, start_offset, (start_offset + length(stripped))::BIGINT AS end_offset, stripped AS title, label, number, rest AS title_tail, text_length,
-  row_number() OVER w AS chapter_index, coalesce(lead(start_offset) OVER w, text_length) AS chapter_end,
-  coalesce(lead(start_offset) OVER w, text_length) - start_offset AS size
-  FROM hd JOIN sz USING (book_id) WINDOW w AS (PARTITION BY hd.book_id ORDER BY start_offset)),
-sl AS (SELECT book_id, chapter_index AS slice_index, 'chapter' AS kind, title, start_offset AS slice_start, end_offset AS heading_end, chapter_end AS slice_end FROM ch
+pe AS (SELECT book_id, line_no, lag(e) OVER (PARTITION BY book_id ORDER BY line_no) AS text_before, max(e) OVER (PARTITION BY book_id) AS text_end
+  FROM (SELECT book_id, line_no, (start_offset + length(stripped))::BIGINT AS e FROM st WHERE length(stripped) > 0)),
+ch AS (SELECT hd.book_id, hd.line_no, start AS start_offset, start_offset AS title_start, (start_offset + length(stripped))::BIGINT AS title_end, least(start + length(raw) + 1, text_length)::BIGINT AS heading_end,
+  stripped AS title, label, number, rest AS title_tail, text_length,
+  row_number() OVER w AS chapter_index, coalesce(lead(start) OVER w, text_length) AS chapter_end,
+  coalesce(lead(text_before) OVER w, text_end) - start_offset AS size
+  FROM hd JOIN sz USING (book_id) JOIN pe ON pe.book_id = hd.book_id AND pe.line_no = hd.line_no WINDOW w AS (PARTITION BY hd.book_id ORDER BY hd.line_no)),
+sl AS (SELECT book_id, chapter_index AS slice_index, 'chapter' AS kind, title, start_offset AS slice_start, heading_end, chapter_end AS slice_end FROM ch
   UNION ALL SELECT book_id, 0, 'front_matter', '前置内容', 0, 0, min(start_offset) FROM ch GROUP BY book_id HAVING min(start_offset) > 0
   UNION ALL SELECT book_id, 1, 'body', '正文', 0, 0, text_length FROM sz WHERE book_id NOT IN (SELECT book_id FROM ch))
 """
@@ -202,18 +205,11 @@ def heading_match(spark, sf_dir):
     return structure.headings(book_lines(spark, sf_dir)).select("book_id", "line_no", "label", "number", "title_tail")
 
 
-@register("cn_number", "SELECT * FROM (VALUES ('十', 10), ('二十三', 23), ('一百零五', 105), ('三千二百', 3200), ('一万二千', 12000), ('42', 42), ('百', 100), ('甲', NULL), ('两千', 2000), ('拾伍', 15)) AS t(numeral, number)")
+@register("cn_number", f"{HEADED} SELECT book_id, line_no, num AS numeral, number FROM hd")
 def cn_number(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('十'), ('二十三'), ('一百零五'), ('三千二百'), ('一万二千'), ('42'), ('百'), ('甲'), ('两千'), ('拾伍') AS t(numeral)")
-    return rows.select("numeral", X.cn_number(F.col("numeral")).cast("int").alias("number"))
-
-
-@register("cn_number_whole")
-def cn_number_whole(spark, sf_dir):
     """The numbers of all headings."""
-    rows = book_lines(spark, sf_dir).where(F.length("raw") <= 400).withColumn("heading", X.heading(F.col("raw")))
-    rows = rows.where("heading is not null").select("book_id", "line_no", F.col("heading.number").alias("numeral"))
-    return rows.select("book_id", "line_no", "numeral", X.cn_number(F.col("numeral")).cast("int").alias("number"))
+    rows = book_lines(spark, sf_dir).withColumn("heading", X.heading(F.col("raw"))).where("heading is not null")
+    return rows.select("book_id", "line_no", F.col("heading.number").alias("numeral"), X.cn_number(F.col("heading.number")).alias("number"))
 
 
 @register("chapters", f"{HEADED} SELECT book_id, chapter_index, title, number, start_offset, chapter_end, size FROM ch")
@@ -261,15 +257,24 @@ def duplicate_titles(spark, sf_dir):
       + CASE WHEN n_chapters >= 20 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN n_chapters >= 100 THEN 0.08::DOUBLE ELSE 0 END END
       - least(0.2::DOUBLE, duplicates / greatest(1, n_chapters)::DOUBLE * 0.6) - least(0.25::DOUBLE, non_monotonic / greatest(1, n_chapters)::DOUBLE * 0.8)
       - CASE WHEN n_chapters > 0 AND very_long / greatest(1, n_chapters)::DOUBLE > 0.25 THEN 0.15::DOUBLE ELSE 0 END)) AS sc FROM r)
-    SELECT book_id, text_length, n_chapters, very_short, very_long, duplicates, non_monotonic, round(sc, 6) AS score, CASE WHEN sc >= 0.78 THEN 'high' WHEN sc >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM s""",
+    SELECT book_id, text_length, n_chapters, very_short, very_long, duplicates, non_monotonic, round(sc, 4) AS score, CASE WHEN sc >= 0.78 THEN 'high' WHEN sc >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM s""",
 )
 def structure_confidence(spark, sf_dir):
     return structure.structure_report(book_lines(spark, sf_dir))
 
 
-@register("fallback_chunks")
+_CUT = lambda c: f"coalesce((SELECT max(e) FROM le WHERE le.book_id = r.book_id AND e > {c} + {R.FALLBACK_CHUNK // 2 + 1} AND e <= {c} + {R.FALLBACK_CHUNK + 1}), (SELECT min(e) FROM le WHERE le.book_id = r.book_id AND e >= {c} + {R.FALLBACK_CHUNK + 1}), total)"
+
+
+@register(
+    "fallback_chunks",
+    f"""WITH RECURSIVE {LINES_CTE}, le AS (SELECT b.book_id, b.start + length(b.raw) + 1 AS e FROM bl b), tt AS (SELECT book_id, max(start + length(raw))::BIGINT AS total FROM bl GROUP BY book_id),
+    r AS (SELECT book_id, total, 0::BIGINT AS chunk_index, 0::BIGINT AS chunk_start, 0::BIGINT AS chunk_end FROM tt
+      UNION ALL SELECT r.book_id, total, chunk_index + 1, r.chunk_end, CASE WHEN r.chunk_end + {R.FALLBACK_CHUNK} >= total THEN total ELSE least(total, {_CUT('r.chunk_end')}) END FROM r WHERE r.chunk_end < total)
+    SELECT book_id, chunk_index, chunk_start, chunk_end FROM r WHERE chunk_index > 0""",
+)
 def fallback_chunks(spark, sf_dir):
-    return structure.fallback_chunks(structure.texts_of_lines(book_lines(spark, sf_dir)))
+    return structure.fallback_chunks(book_lines(spark, sf_dir))
 
 
 @register("blocks", f"{BLOCKED} SELECT book_id, line_no, start_offset, end_offset, kind, strength, md5(key) AS key_md5 FROM bk")

@@ -45,7 +45,7 @@ def test_near_repetitions_are_ranked(spark, table):
 def test_operators_run_over_the_whole_table(spark, table):
     lines = {(r.book_id, r.line_no): r.raw for r in book_lines(spark, table).collect()}
     marks = {",": "，", ".": "。", "!": "！", "?": "？", ":": "：", ";": "；"}
-    got = {(r.book_id, r.line_no): r.line for r in edit_queries.QUERIES["safe_punctuation_whole"](spark, table).collect()}
+    got = {(r.book_id, r.line_no): r.line for r in edit_queries.QUERIES["safe_punctuation"](spark, table).collect()}
     assert got.keys() == lines.keys()
     for k, raw in lines.items():
         assert len(got[k]) == len(raw) and all(a == b or marks.get(a) == b for a, b in zip(raw, got[k]))
@@ -55,8 +55,8 @@ def test_operators_run_over_the_whole_table(spark, table):
         if not (blank and before.get(k[0])):
             kept[k] = "" if blank else raw
         before[k[0]] = blank
-    assert {(r.book_id, r.line_no): r.raw for r in edit_queries.QUERIES["blank_collapse_whole"](spark, table).collect()} == kept
-    numbers = scan_queries.QUERIES["cn_number_whole"](spark, table).collect()
+    assert {(r.book_id, r.line_no): r.raw for r in edit_queries.QUERIES["blank_collapse"](spark, table).collect()} == kept
+    numbers = scan_queries.QUERIES["cn_number"](spark, table).collect()
     assert len(numbers) == scan_queries.QUERIES["heading_match"](spark, table).count() > 0
     assert all(r.number == int(r.numeral) for r in numbers if re.fullmatch("[0-9]+", r.numeral or ""))
 
