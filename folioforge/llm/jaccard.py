@@ -47,7 +47,7 @@ BLOCK_TEXT, BLOCK_ROWS = 8_000_000, 60_000
 #: Hubs that a node meets per round before the nodes of different components are paired one by one.
 HUBS = (1, 12)
 #: Fragments of the global order in which candidates are verified (a power of two), and bytes of n-grams per bucket of pairs.
-CHECK_BITS = 2
+CHECK_BITS = 1
 BUCKET_BYTES = 16_000_000
 #: Bits of the frequency class in front of an n-gram's hash.
 LEVEL_BITS = 6
