@@ -44,12 +44,11 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def dropped(spark: SparkSession, *tables: DataFrame | None) -> None:
-    """Deletes tables that written() made, once nothing reads them any more."""
-    for table in tables:
-        for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()} if table is not None else ():
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(spark: SparkSession, files: list[str]) -> None:
+    """Deletes the folders of files that written() made, once nothing reads them any more."""
+    for folder in {x.rsplit("/", 1)[0] for x in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

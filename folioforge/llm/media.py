@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import text_of, written
+from folioforge.llm.common import dropped, text_of, written
 from folioforge.llm.rowfilter import bitmap, hot_join, marked
 
 UNIT = 64
@@ -243,7 +243,10 @@ class ChunkStore:
         parts = written(dealt.mapInArrow(_stored, PART), "media-store", ["kind"])
         chunks = parts.where(F.col("kind") == SHARED).groupBy("digest").agg(F.first("frames").alias("frames"))
         references = parts.where(F.col("kind") == REFERENCE).select("payload", "place", "digest").distinct()
-        return cls(parts.where(F.col("kind") == OWN).drop("kind", "place"), written(chunks, "media-shared"), written(references, "media-references"))
+        made = cls(parts.where(F.col("kind") == OWN).drop("kind", "place"), written(chunks, "media-shared"), written(references, "media-references"))
+        # Both tables hold now what these parts of the store held.
+        dropped(docs.sparkSession, [f for f in parts.inputFiles() if f"/kind={SHARED}/" in f or f"/kind={REFERENCE}/" in f])
+        return made
 
     def read(self) -> DataFrame:
         """A row per payload, rebuilt from the store."""
