@@ -157,7 +157,10 @@ def source_marker(spark, sf_dir):
     return rows.where("marked or bare")
 
 
-@register("bound_visit")
+VISIT = "(" + " OR ".join(f"regexp_matches(folded, {q(p)})" for p in X.visit_patterns("(?:$|[^a-z0-9_-])")) + ")"
+
+
+@register("bound_visit", f"{BASE} SELECT book_id, line_no, stripped FROM fo WHERE {VISIT}")
 def bound_visit(spark, sf_dir):
     return folded(spark, sf_dir).where(X.bound_visit(F.col("folded"))).select("book_id", "line_no", "stripped")
 
@@ -368,15 +371,20 @@ ck AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY CASE strength
 RANKED = f"{BLOCKED}, {RANK_CTE}"
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of the exact and pattern layers."""
-    found = scan.blocks(book_lines(spark, sf_dir))
+def taken(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Blocks that the exact and pattern layers take."""
+    found = scan.blocks(book_lines(spark, sf_dir) if lines is None else lines)
     exact = scan.exact_groups(found).select("book_id", "key")
     l1 = found.join(exact, ["book_id", "key"]).withColumn("layer", F.lit("L1")).withColumn("group", F.col("key"))
     rest = found.join(exact, ["book_id", "key"], "left_anti").where(F.size("signals") > 0)
     named = F.concat(F.when(F.col("strength") == "strong", "strong:").otherwise("weak:"), X.stable_hash(F.col("key")))
     l3 = rest.withColumn("layer", F.lit("L3")).withColumn("group", named)
-    return scan.candidates(l1.unionByName(l3))
+    return l1.unionByName(l3)
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the exact and pattern layers."""
+    return scan.candidates(taken(spark, sf_dir))
 
 
 def ranked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
