@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,15 @@ def _located(docs: DataFrame, digest: Callable[[Column], Column], *more: Column)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text_of()).alias("digest"), locator.alias("locator"), *more)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """docs, or a table of its rows in the shared folder if they come from several places, so that a locator can name where a row lies."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        return written(docs, "dedup-docs")
+    return docs
+
+
 def stream_states(feed: DataFrame, files: int, rows: int) -> DataFrame:
     """digest, top (doc_id, locator), group_size: the state after the whole feed."""
     spark = feed.sparkSession
@@ -80,7 +90,7 @@ def _joined(rows: DataFrame, hits: DataFrame, n: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest: one row per row of docs."""
-    spark = docs.sparkSession
+    docs = located(docs)
     feed = written(_located(docs, digest), "dedup-feed")
     n = feed.count()
     out = ("doc_id", "keep_id", "group_size", "kept", "digest")
@@ -117,6 +127,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row per text: that with the largest doc_id (null being smallest), and one of them where that doc_id is repeated.
 
     Defined cases as above; other columns stay with their row, and texts are not moved unless a verdict is in doubt (see rowfilter)."""
+    docs = located(docs)
     found = exact_dedup(docs)
     verdicts = found.groupBy("digest", "doc_id").agg(F.max("kept").alias("stays"), (F.max("kept") & (F.count(F.lit(1)) > 1)).alias("once"))
     return staying(docs, [sha256(text_of()), F.col("doc_id").cast("long")], verdicts)
