@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.arrowtools import restored, squeezed
 from folioforge.llm.common import written
+from folioforge.llm.rowfilter import staying
 from folioforge.llm.wordhash import mixed, word_hashes
 
 #: Smoothing counts at least this many words and 1, and all words of the corpus where they are more; no word is left out.
@@ -219,9 +220,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-    # Labels grow with the documents: the same shuffled join at every size, where AQE can split a hot doc_id.
-    rows = rows.join(good.hint("merge"), rows["doc_id"] == good["of"], "left")
-    rows = rows.select("doc_id", F.coalesce("good", F.lit(-1)).alias("good"), F.pmod(F.xxhash64("row"), F.lit(DRAWS)).alias("draw"), "text")
+    # Every doc_id's side, once each; texts stay where they lie (see rowfilter), whatever share of them is labelled.
+    ids = rows.select("doc_id").distinct()
+    sides = written(ids.join(good.hint("merge"), ids["doc_id"] == good["of"], "left").select("doc_id", F.coalesce("good", F.lit(-1)).alias("good")), "lm-sides")
+    parts = [staying(rows, [F.col("doc_id")], sides.select("doc_id", (F.col("good") == side).alias("stays"))).withColumn("good", F.lit(side)) for side in (1, 0, -1)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = rows.select("doc_id", "good", F.pmod(F.xxhash64("row"), F.lit(DRAWS)).alias("draw"), "text")
     blocks = written(rows.mapInArrow(_blocked, BLOCK), "lm-blocks")
     sums = blocks.agg(F.sum("good_words"), F.sum("other_words"), F.sum("n_words")).first()
     target, other, total = (int(x or 0) for x in sums)
