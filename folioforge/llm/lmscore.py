@@ -3,8 +3,9 @@
 The target is the documents labelled of good quality, the background unlabelled documents; the larger side is thinned by hash until
 both have as many words. The vocabulary is every word of all documents, named by a 64-bit hash, so it grows with the corpus; text
 starts have a name of their own. Documents lie in blocks of about BLOCK_WORDS words, as places in the block's sorted distinct words.
-A block sends each of its distinct bigrams, words and predecessors once to the fragment of its key (by hash), with its counts in both
-models; the fragment sums the counts of all blocks and sends them back to the blocks that asked, where the documents are scored. So
+A block sends each of its distinct bigrams and words once to the fragment of its key (by hash), with its counts in both models and how
+often the word ends a document: a word is a predecessor everywhere else, so that predecessors need no keys of their own. The fragment
+sums the counts of all blocks and sends them back to the blocks that asked, where the documents are scored. So
 neither a vocabulary nor an n-gram table is broadcast or reaches the driver, and what travels is a block's distinct keys and not all
 of its words. A model document's own counts of bigrams, words and predecessors are taken out while it is scored.
 
@@ -41,12 +42,12 @@ DRAWS = 1 << 30
 #: Weight of the bigram model against the word model.
 BIGRAM = 0.7
 TARGET, BACKGROUND, NEITHER = 1, 2, 0
-#: The name of a text start, and what parts the keys of words and of predecessors from those of bigrams. Only words' keys are odd.
+#: The name of a text start, and what parts the keys of words and of the text start from those of bigrams. Only words' keys are odd.
 START = np.uint64(0x5851F42D4C957F2D)
-OF_WORD, OF_HEAD = np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+OF_WORD, OF_START = np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 
 
-BLOCK = "block long, doc_ids array<long>, good binary, draws binary, lengths binary, names binary, words binary, n_words long, good_words long, other_words long"
+BLOCK = "block long, doc_ids array<long>, good binary, draws binary, lengths binary, n_names long, names binary, words binary, n_words long, good_words long, other_words long"
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +63,9 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([task << 32 | made]),
                 pa.array([doc_ids], pa.list_(pa.int64())),
-                *[pa.array([x.tobytes()], pa.binary()) for x in (good.astype(np.int8), draws.astype(np.uint32), n.astype(np.uint32), names)],
+                *[pa.array([x.tobytes()], pa.binary()) for x in (good.astype(np.int8), draws.astype(np.uint32), n.astype(np.uint32))],
+                pa.array([len(names)]),
+                pa.array([squeezed(np.diff(names, prepend=np.uint64(0)), "<u8")], pa.binary()),
                 pa.array([squeezed(words)], pa.binary()),
                 *[pa.array([x]) for x in numbers],
             ],
@@ -92,27 +95,38 @@ class _Documents:
         good, draws = np.frombuffer(row["good"], np.int8), np.frombuffer(row["draws"], np.uint32)
         self.roles = np.where((good == 1) & (draws < limits[0]), TARGET, np.where((good == -1) & (draws < limits[1]), BACKGROUND, NEITHER))
         self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int64), self.lengths)
-        self.names = np.append(np.frombuffer(row["names"], np.uint64), START)
+        self.names = np.append(np.cumsum(restored(row["names"], row["n_names"], "<u8"), dtype=np.uint64), START)
         self.after = restored(row["words"], int(self.lengths.sum()))
         self.before = np.empty_like(self.after)
         self.before[1:] = self.after[:-1]
-        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = len(self.names) - 1
+        ends = np.cumsum(self.lengths)[self.lengths > 0]
+        self.first, self.last = ends - self.lengths[self.lengths > 0], ends - 1
+        self.before[self.first] = len(self.names) - 1
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The keys of the distinct bigrams, words and predecessors in order, and where among them those of every word are."""
+        """The keys of the distinct bigrams, words and the text start in order, and where among them those of every bigram, word and
+        predecessor are."""
         if not len(self.after):
             none = np.zeros(0, np.int32)
             return np.zeros(0, np.uint64), none, none, none
         size = np.uint64(len(self.names))
         pairs, place = np.unique(self.before * size + self.after, return_inverse=True)
         two = mixed(mixed(self.names[pairs // size]) + self.names[pairs % size]) & ~np.uint64(1)
-        one, head = mixed(self.names[:-1] + OF_WORD) | np.uint64(1), mixed(self.names + OF_HEAD) & ~np.uint64(1)
-        keys = np.concatenate([two, one, head])
+        one = np.append(mixed(self.names[:-1] + OF_WORD) | np.uint64(1), mixed(START + OF_START) & ~np.uint64(1))
+        keys = np.concatenate([two, one])
         order = np.argsort(keys)
         moved = np.empty(len(order), np.int32)
         moved[order] = np.arange(len(order), dtype=np.int32)
-        a, b = len(two), len(two) + len(one)
-        return keys[order], moved[:a][place], moved[a:b][self.after], moved[b:][self.before]
+        one_at = moved[len(two) :]
+        return keys[order], moved[: len(two)][place], one_at[self.after], one_at[self.before]
+
+    def counts(self, keys: np.ndarray, places: list[np.ndarray], role: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often every key occurs in one model, and how often it ends a document there."""
+        inside = self.roles[self.owner] == role
+        place, word_place, head_place = places
+        whole = np.bincount(place[inside], minlength=len(keys)) + np.bincount(word_place[inside], minlength=len(keys))
+        whole += np.bincount(head_place[self.first[inside[self.first]]], minlength=len(keys))
+        return whole, np.bincount(word_place[self.last[inside[self.last]]], minlength=len(keys))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -121,8 +135,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-ASKED = "block long, fragment int, k int, keys binary, target binary, background binary"
-COUNTED = "block long, fragment int, k int, target binary, background binary, kinds long, target_words long, background_words long"
+ASKED = "block long, fragment int, k int, keys binary, target binary, background binary, target_ends binary, background_ends binary"
+#: The ends are those of the words among the keys, n_words of them.
+COUNTED = (
+    "block long, fragment int, k int, n_words int, target binary, background binary, target_ends binary, background_ends binary, "
+    "kinds long, target_words long, background_words long"
+)
 
 
 def _asked(bits: int, limits: tuple[float, float]):
@@ -135,8 +153,8 @@ def _asked(bits: int, limits: tuple[float, float]):
             if not len(keys):
                 continue
             fragments = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-            roles = docs.roles[docs.owner]
-            counts = [sum(np.bincount(place[roles == r], minlength=len(keys)) for place in places) for r in (TARGET, BACKGROUND)]
+            counts, ends = zip(*[docs.counts(keys, places, r) for r in (TARGET, BACKGROUND)])
+            is_word = (keys & np.uint64(1)).astype(bool)
             starts = np.flatnonzero(np.append(True, fragments[1:] != fragments[:-1]))
             spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]))
             yield pa.RecordBatch.from_arrays(
@@ -146,6 +164,7 @@ def _asked(bits: int, limits: tuple[float, float]):
                     pa.array([e - s for s, e in spans], pa.int32()),
                     pa.array([squeezed(np.diff(keys[s:e], prepend=np.uint64(0)), "<u8") for s, e in spans], pa.binary()),
                     *[pa.array([squeezed(c[s:e]) for s, e in spans], pa.binary()) for c in counts],
+                    *[pa.array([squeezed(c[s:e][is_word[s:e]]) for s, e in spans], pa.binary()) for c in ends],
                 ],
                 [x.split()[0] for x in ASKED.split(", ")],
             )
@@ -157,19 +176,25 @@ def _counted(table: pa.Table) -> pa.Table:
     """Of one fragment: each block's keys again, now with the counts of all blocks; and how many words the fragment has and counts."""
     sizes = table["k"].to_pylist()
     keys = np.concatenate([np.cumsum(restored(x, k, "<u8"), dtype=np.uint64) for x, k in zip(table["keys"].to_pylist(), sizes)])
+    asked_words = (keys & np.uint64(1)).astype(bool)
     kinds, place = np.unique(keys, return_inverse=True)
     del keys
     is_word = (kinds & np.uint64(1)).astype(bool)
-    ends = np.cumsum(sizes)
-    out, totals = [], [int(is_word.sum())]
+    spans = [(e - k, e) for e, k in zip(np.cumsum(sizes).tolist(), sizes)]
+    n_words = [int(asked_words[s:e].sum()) for s, e in spans]
+    out, out_ends, totals = [], [], [int(is_word.sum())]
     for name in ("target", "background"):
         parts = np.concatenate([restored(x, k) for x, k in zip(table[name].to_pylist(), sizes)])
         whole = np.bincount(place, parts, minlength=len(kinds))
         totals.append(int(whole[is_word].sum()))
         whole = whole[place]
-        out.append(pa.array([squeezed(whole[e - k : e]) for e, k in zip(ends.tolist(), sizes)], pa.binary()))
+        out.append(pa.array([squeezed(whole[s:e]) for s, e in spans], pa.binary()))
+        parts = np.concatenate([restored(x, k) for x, k in zip(table[f"{name}_ends"].to_pylist(), n_words)])
+        whole = np.bincount(place[asked_words], parts, minlength=len(kinds))[place]
+        out_ends.append(pa.array([squeezed(whole[s:e][asked_words[s:e]]) for s, e in spans], pa.binary()))
     totals = [pa.array(np.full(len(sizes), x, np.int64)) for x in totals]
-    return pa.table([table["block"], table["fragment"], table["k"], *out, *totals], [x.split()[0] for x in COUNTED.split(", ")])
+    columns = [table["block"], table["fragment"], table["k"], pa.array(n_words, pa.int32()), *out, *out_ends, *totals]
+    return pa.table(columns, [x.split()[0] for x in COUNTED.split(", ")])
 
 
 SCORED = "doc_id long, n_words long, target_loss double, background_loss double"
@@ -190,21 +215,24 @@ def _scored(limits: tuple[float, float], vocabulary: int, totals: dict[int, int]
     def make(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         parts: list[pa.Table] = []
         counted = counted.sort_by("fragment")
-        sizes = counted["k"].to_pylist()
+        sizes, n_words = counted["k"].to_pylist(), counted["n_words"].to_pylist()
         for row in _rows(blocks.to_batches()):
             docs = _Documents(row, limits)
             keys, place, word_place, head_place = docs.keys()
             if sum(sizes) != len(keys):
                 raise RuntimeError("a block's keys did not all come back")
+            is_word = (keys & np.uint64(1)).astype(bool)
             own, own_word, own_head = (_own(docs.owner, x) for x in (place, word_place, head_place))
             role = docs.roles[docs.owner]
             losses = []
             for r, name in ((TARGET, "target"), (BACKGROUND, "background")):
                 counts = np.concatenate([np.zeros(0, np.uint32), *[restored(x, k) for x, k in zip(counted[name].to_pylist(), sizes)]]).astype(np.int64)
+                heads = counts.copy()
+                heads[is_word] -= np.concatenate([np.zeros(0, np.uint32), *[restored(x, k) for x, k in zip(counted[f"{name}_ends"].to_pylist(), n_words)]])
                 inside = role == r
                 word = counts[word_place] - inside * own_word + 1.0
                 word /= totals[r] + vocabulary
-                head = counts[head_place] - inside * own_head
+                head = heads[head_place] - inside * own_head
                 pair = np.where(head > 0, (counts[place] - inside * own) / np.maximum(head, 1), word)
                 loss = -np.log(BIGRAM * pair + (1 - BIGRAM) * word)
                 losses.append(np.bincount(docs.owner, loss, minlength=len(docs.lengths)) / np.maximum(docs.lengths, 1))
@@ -232,7 +260,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     answers = written(asked.groupBy("fragment").applyInArrow(_counted, COUNTED), "lm-counts")
     sums = answers.groupBy("fragment").agg(*[F.first(c).alias(c) for c in ("kinds", "target_words", "background_words")])
     kinds, *totals = (int(x or 0) for x in sums.agg(F.sum("kinds"), F.sum("target_words"), F.sum("background_words")).first())
-    scored = blocks.groupBy("block").cogroup(answers.select("block", "fragment", "k", "target", "background").groupBy("block")).applyInArrow(
+    scored = blocks.groupBy("block").cogroup(answers.drop("kinds", "target_words", "background_words").groupBy("block")).applyInArrow(
         _scored(limits, max(LEAST_WORDS + 1, kinds), dict(zip((TARGET, BACKGROUND), totals))), SCORED
     )
     t, b = F.round("target_loss", 6), F.round("background_loss", 6)
