@@ -56,6 +56,51 @@ def mask_counts(lines: DataFrame) -> DataFrame:
     return lines.select("book_id", "line_no", masks.alias("masks"), F.regexp_count("raw", F.lit(SEPARATOR)).alias("separators")).where("masks + separators > 0")
 
 
+def mask_spans(lines: DataFrame, most: int = 500, around: int = 10) -> DataFrame:
+    """book_id, line_no, id, mask_type, start, end (code points in the book), original, prefix, suffix of masked characters and separated words.
+
+    Ids count a book's masks by place and then its separators; `most` of them are kept, which is the feature's own limit. Prefix and suffix are
+    `around` characters and may reach into other lines. A null line is empty. Lines without a span stay out before anything is exploded.
+    """
+    text = F.coalesce("raw", F.lit(""))
+    order = Window.partitionBy("book_id").orderBy("line_no")
+    # A line has at least its line break, so that `around` lines hold as many characters; of each only so many are kept.
+    rows = lines.select(
+        "book_id",
+        "line_no",
+        F.col("start").alias("line_start"),
+        text.alias("raw"),
+        F.collect_list(F.right(text, F.lit(around))).over(order.rowsBetween(-around, -1)).alias("above"),
+        F.collect_list(F.left(text, F.lit(around))).over(order.rowsBetween(1, around)).alias("below"),
+    )
+    parts = []
+    for rank, (kind, pattern) in enumerate((("mask_chars", rf"{MASK_ONE}|{MASK_RUN}"), ("word_separator", SEPARATOR))):
+        found, between = F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)), F.split("raw", pattern, -1)
+        # A span starts after all that lies between spans so far and after the former spans.
+        gone = F.aggregate(F.slice(between, F.lit(1), F.col("i") + 1), F.lit(0), lambda n, x: n + F.length(x))
+        gone = F.aggregate(F.slice("found", F.lit(1), F.col("i")), gone, lambda n, x: n + F.length(x))
+        part = rows.where(F.col("raw").rlike(pattern)).select("*", found.alias("found"))
+        part = part.select("*", F.posexplode("found").alias("i", "original")).withColumn("at", gone)
+        parts.append(part.select("*", F.lit(rank).alias("rank"), F.lit(kind).alias("mask_type")).drop("found", "i"))
+    spans = parts[0].unionByName(parts[1])
+    after = F.col("at") + F.length("original")
+    before_line = F.when(F.size("above") > 0, F.concat(F.array_join("above", "\n"), F.lit("\n"))).otherwise("")
+    after_line = F.when(F.size("below") > 0, F.concat(F.lit("\n"), F.array_join("below", "\n"))).otherwise("")
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy("rank", "line_no", "at"))
+    spans = spans.withColumn("number", number).where(F.col("number") <= most)
+    return spans.select(
+        "book_id",
+        "line_no",
+        F.format_string("BW-%04d", "number").alias("id"),
+        "mask_type",
+        (F.col("line_start") + F.col("at")).alias("start"),
+        (F.col("line_start") + after).alias("end"),
+        "original",
+        F.right(F.concat(before_line, F.left("raw", F.col("at"))), F.lit(around)).alias("prefix"),
+        F.left(F.concat(F.substring("raw", after + 1, F.length("raw")), after_line), F.lit(around)).alias("suffix"),
+    )
+
+
 def safe_punctuation(c: Column) -> Column:
     """Full-width marks after a CJK character and before an end, a space, a CJK character or a closing quote."""
     for half, full in PUNCTUATION.items():

@@ -61,6 +61,25 @@ def mask_counts(spark, sf_dir):
     return layout.mask_counts(book_lines(spark, sf_dir))
 
 
+# A run of masks with the CJK character among them would be cut by its neighbours, which this SQL does not do; the test does.
+@register("mask_spans", f"""{BASE}, whole AS (SELECT book_id, string_agg(raw, chr(10) ORDER BY line_no) AS book FROM bl GROUP BY 1),
+ch AS (SELECT book_id, line_no, start, raw, unnest(range(1, length(raw) + 1)) AS i FROM bl WHERE regexp_matches(raw, '[\\*＊×Xx□■口]')),
+ma AS (SELECT *, i - row_number() OVER (PARTITION BY book_id, line_no ORDER BY i) AS run FROM ch WHERE regexp_matches(substring(raw, i, 1), '[\\*＊×Xx□■口]')),
+ru AS (SELECT book_id, line_no, start, raw, min(i) AS a, max(i) AS b FROM ma GROUP BY book_id, line_no, start, raw, run),
+mk AS (SELECT 0 AS rank, 'mask_chars' AS mask_type, book_id, line_no, start + a - 1 AS s, start + b AS e FROM ru
+  WHERE b > a OR (a > 1 AND regexp_matches(substring(raw, a - 1, 1), '[\\x{{4e00}}-\\x{{9fff}}]') AND regexp_matches(substring(raw, b + 1, 1), '[\\x{{4e00}}-\\x{{9fff}}]'))),
+sp AS (SELECT book_id, line_no, start, regexp_extract_all(raw, {q(layout.SEPARATOR)}) AS f, string_split_regex(raw, {q(layout.SEPARATOR)}) AS t FROM bl WHERE regexp_matches(raw, {q(layout.SEPARATOR)})),
+si AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM sp),
+sa AS (SELECT *, start + length(array_to_string(t[1:i], '')) + length(array_to_string(f[1:i - 1], '')) AS s FROM si),
+al AS (SELECT * FROM mk UNION ALL SELECT 1, 'word_separator', book_id, line_no, s, s + length(f[i]) FROM sa),
+nu AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY rank, s) AS n FROM al)
+SELECT book_id, line_no, printf('BW-%04d', n) AS id, mask_type, s::BIGINT AS start, e::BIGINT AS "end", substring(book, s + 1, e - s) AS original,
+  substring(book, greatest(s - 10, 0) + 1, least(s, 10)) AS prefix, substring(book, e + 1, 10) AS suffix
+FROM nu JOIN whole USING (book_id) WHERE n <= 500""")
+def mask_spans(spark, sf_dir):
+    return layout.mask_spans(book_lines(spark, sf_dir))
+
+
 def punctuated(c: str) -> str:
     """SQL of safe_punctuation: RE2 has no look-around, and a mark's next character may be the one before the next mark, hence twice."""
     for half, full in layout.PUNCTUATION.items():
