@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import rules as R
 from folioforge.functions import text as X
 from folioforge.operators import scan
+from folioforge.plans import edit_queries, scan_queries
 
 PARTS = (
     *("abc", "Ps", "WWW.", "x.COM", "a@b.io", " ", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "　", "…", "ＷＷＷ．ｘ．ｃｎ", "３", "12", "é", "·", "①", "ﬁ", "𝟗", "𠀀", "İ", "Σ"),
@@ -80,3 +81,11 @@ def test_simhash_and_near_pairs_by_brute_force(spark):
             want.add((a, b))
     got = [(r.start_offset, r.o_start_offset) for r in scan.near_pairs(table).collect()]
     assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_operations_are_built_from_candidates_made_once(spark):
+    """The candidates are not scanned for again by each step that reads them."""
+    made = edit_queries.applied(spark, "/root/testdata/sf0.001")[2]
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    plan = scan_queries.taken(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_nfkc(") == 1 and " Join " not in plan
