@@ -9,7 +9,7 @@ from folioforge.functions import rules as R
 from folioforge.functions import text as X
 from folioforge.operators import drafts, scan, structure
 from folioforge.plans.corpus import book_lines
-from folioforge.plans.scan_queries import _GRAMS, _NAMES, _TEMPLATE, DOMAINS, FULL, HALF, INTENTS, PAIR_CTE, RANKED, SITES, VISIT, WS, q, ranked, taken
+from folioforge.plans.scan_queries import _GRAMS, _NAMES, _TEMPLATE, DOMAINS, FULL, HALF, INTENTS, PAIR_CTE, RANKED, SITES, VISIT, WS, q, ranked, taken_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,8 +29,8 @@ def register(name: str, sql: str | None = None):
 
 def featured(spark, sf_dir):
     lines = book_lines(spark, sf_dir)
-    rows = cut(taken(spark, sf_dir, lines))
-    spans = scan.neighbour_spans(scan.neighbour_pairs(scan.blocks(lines), lines, structure.slices(lines)))
+    rows = cut(taken_of(scan.blocks_in_order(lines)))  # with all blocks that have signals, so that neighbours are among them
+    spans = scan.neighbour_spans(scan.neighbour_pairs(rows, structure.slices(lines)))
     return cut(drafts.features(scan.candidates(rows), rows, spans))
 
 
