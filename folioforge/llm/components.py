@@ -21,19 +21,25 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+    moved = F.explode(F.array(*[F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in ("u", "v")]))
+    return down.join(least, "u").select(moved.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each edge leads from a node without any other to one from which none leads: no step changes these."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("n")), F.struct(F.col("b").alias("node"), F.lit(0).alias("n")))).alias("e"))
+    # The end that no edge leads from counts 0, so that a node has one 1, or zeros only.
+    odd = ends.groupBy("e.node").agg(F.sum("e.n").alias("out"), F.min("e.n").alias("least")).where("out > 1 or out = 1 and least = 0")
+    return odd.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (a, b); each step is a table in the shared folder."""
+    """node, component (its smallest node) for every node of edges (a, b); each step is a table in the shared folder, so that the next
+    does not make it again for each of its uses."""
     edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    seen = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "star")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
+        edges = written(_small_star(written(_large_star(edges), "star")), "star")
+        if _stars(edges):
             break
-        seen = state
     tops = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops.select("node", F.col("node").alias("component")))
