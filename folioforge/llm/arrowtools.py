@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -43,3 +46,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers from starts[i] on, lengths[i] of them, for one i after another."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def released() -> None:
+    """Gives back memory that this process holds without using it, as a worker that is used again keeps what its former tasks freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)

@@ -2,7 +2,8 @@
 
 Texts are split by the tokenizer's pattern. The distinct words of a batch are byte arrays whose merges are folded all at once:
 a matrix has a word's pieces in each row, every step finds each word's lowest-ranked adjacent pair (the first of equals) in a
-hash table of ranks and merges it, until no word has a ranked pair left. A worker keeps what it has folded, up to KEPT words.
+hash table of ranks and merges it, until no word has a ranked pair left. A worker keeps what it has folded, up to KEPT words of at
+most MATRIX_BYTES. Texts are looked at in slices of about SLICE_BYTES, and only the new words of a slice are held as strings.
 Decoding concatenates the pieces of the ids.
 
 Defined cases: a null text is the empty text, with no ids; unpaired surrogates cannot occur in a Spark string; repeated rows
@@ -13,19 +14,23 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import binary_column, bytes_of, ranges
+from folioforge.llm.arrowtools import binary_column, bytes_of, ranges, released
 from folioforge.llm.wordhash import mixed
 
 #: Words that a worker remembers before it starts afresh.
-KEPT = 300_000
+KEPT = 100_000
+#: Bytes of a slice's texts or ids, about, and its rows at most.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 512
 #: Longer words are merged one by one, with a heap.
 MATRIX_BYTES = 48
 _NONE = np.int32(2**31 - 1)
@@ -37,20 +42,20 @@ class RankTable:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values(), default=0) >= 1 << 20:
             raise ValueError("ranks from 2^20 on do not fit a pair's key")
-        pairs = {}
+        self.pieces = ranks
+        pairs, values = array("q"), array("i")
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 20 | right] = rank
-        self.pairs = pairs
-        keys = np.fromiter(pairs, np.int64, len(pairs))
+                    pairs.append(left << 20 | right)
+                    values.append(rank)
+        keys, values = np.array(pairs, np.int64), np.array(values, np.int32)
         bits = max(4, int(np.ceil(np.log2(len(pairs) * 4 + 1))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.ranks = np.full(1 << bits, _NONE, np.int32)
         left = np.arange(len(keys))
-        values = np.fromiter(pairs.values(), np.int32, len(pairs))
         slots = self._slot(keys)
         self.probes = 0
         while len(left):
@@ -139,36 +144,38 @@ class RankTable:
         return np.split(flat, np.cumsum(counts)[:-1])
 
     def _fold_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long word: a heap of (rank, place) over a linked list."""
+        """The same merges for one long word: a heap of (rank, place) over a linked list. A pair is named by the bytes from its place on."""
         pieces = self.single[np.frombuffer(word, np.uint8)].tolist()
-        n = len(pieces)
-        after, before, pairs = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(pieces[i] << 20 | pieces[i + 1])) is not None]
+        n, rank_of = len(pieces), self.pieces.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if pieces[i] < 0 or j >= n or pairs.get(pieces[i] << 20 | pieces[j]) != rank:
+            if pieces[i] < 0 or j >= n or rank_of(word[i : after[j]]) != rank:
                 continue
             pieces[i], pieces[j], after[i] = rank, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := pairs.get(rank << 20 | pieces[after[i]])) is not None:
+                if (r := rank_of(word[i : after[after[i]]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := pairs.get(pieces[before[i]] << 20 | rank)) is not None:
+            if before[i] >= 0 and (r := rank_of(word[before[i] : after[i]])) is not None:
                 heapq.heappush(heap, (r, before[i]))
         return np.array([p for p in pieces if p >= 0], np.int32)
 
 
 class _Words(dict):
-    """Word to number; new words are numbered as they are asked for."""
+    """Word to number; new words are numbered as they are asked for. A number is not given twice, even if its word is deleted."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.given = 0
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
+        number = self[word] = self.given
+        self.given += 1
         self.new.append(word)
         return number
 
@@ -179,11 +186,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Spark bounds a batch by its bytes; this bounds the arrays that are made of one."""
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Spark bounds a batch by its bytes; this bounds the arrays that are made of one by the bytes of a column, but for a row that is longer."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            most = (ends[at - 1] if at else 0) + SLICE_BYTES
+            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, most, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 _TABLES: dict = {}
@@ -203,17 +215,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary file
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()  # what other operators left in this worker
         table, split = _table(shared), regex.compile(pattern).findall
         words, flat = _Words(), np.zeros(0, np.int32)
         starts = sizes = np.zeros(0, np.int64)
-        for batch in _sliced(batches):
-            found = [split(text) if text else [] for text in batch.column(1).to_pylist()]
-            per_text = np.fromiter(map(len, found), np.int64, len(found))
-            if len(words) > KEPT:
+        for batch in _sliced(batches, 1):
+            if words.given > KEPT or len(flat) > 16 * KEPT:
                 words, flat, starts, sizes = _Words(), flat[:0], starts[:0], sizes[:0]
-            numbers = np.fromiter((words[w] for one in found for w in one), np.int64, int(per_text.sum()))
+            found = [np.fromiter(map(words.__getitem__, split(text)), np.int64) if text else starts[:0] for text in batch.column(1).to_pylist()]
+            per_text = np.fromiter(map(len, found), np.int64, len(found))
+            numbers = np.concatenate(found)
+            del found
             if words.new:
                 ids, lengths = table.fold([w.encode() for w in words.new])
+                for word in words.new:
+                    if len(word) > MATRIX_BYTES:
+                        del words[word]
                 words.new.clear()
                 starts = np.concatenate([starts, len(flat) + np.cumsum(lengths) - lengths])
                 sizes, flat = np.concatenate([sizes, lengths]), np.concatenate([flat, ids])
@@ -232,7 +249,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
-        for batch in _sliced(batches):
+        for batch in _sliced(batches, 2):
             data, lengths = bytes_of(batch.column(2))
             ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
             sizes = table.lengths[ids]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrowtools import binary_column, bytes_of, restored, squeezed
+from folioforge.llm.arrowtools import binary_column, bytes_of, released, restored, squeezed
 from folioforge.llm.common import text_of, written
 from folioforge.llm.components import components
 from folioforge.llm.rowfilter import hot_join, staying
@@ -99,6 +99,8 @@ def _segments(bits: int, n: int):
                     made, size, digests, hashes, sizes = made + 1, 0, [], [], []
         if digests:
             yield flush(made, digests, hashes, sizes)
+        del digests, hashes, sizes
+        released()
 
     return make
 
