@@ -140,3 +140,9 @@ def test_f10_review_coverage(spark, cached):
     group(cached)
     want = [(f"AD-{n:04d}", "missing" if n % 11 == 0 else "duplicate") for n in range(1, cached[1].count() + 1) if n % 11 == 0 or n % 13 == 0]
     assert sorted((r.candidate_id, r.problem) for r in run(spark, cached, "review_coverage")) == sorted([*want, ("AD-none", "unexpected")])
+
+
+def test_f11_rollback_point(spark, cached):
+    group(cached)
+    text, _ = spliced(cached, but=("AD-0001",))
+    assert [r.md5 for r in run(spark, cached, "rollback_point")] == [hashlib.md5(text.encode()).hexdigest()]
